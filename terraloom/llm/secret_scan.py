@@ -25,13 +25,14 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 ASSIGN_AHEAD = r"(?i)(?:passw|secret|token|api_?key)"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{32,}+"
-WORD = r"[A-Za-z0-9+/_=-]{16,}+"
+# a word of 16 characters or more with a digit or sign, or with a capital after a small letter
+WORD = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z]*+[0-9+/_=-]|[A-Z]*+[a-z]++[A-Z])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
 def base_spans(text: Column) -> Column:
     """The fixed patterns' spans, labelled."""
-    assign = F.filter(spans(text, ASSIGN, text.rlike(ASSIGN_AHEAD)), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN_VALUE, 1)) >= 8)
+    assign = F.filter(spans(text, ASSIGN, (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN_AHEAD)), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN_VALUE, 1)) >= 8)
     access = F.filter(spans(text, ACCESS, text.contains("AKIA")), lambda x: F.length(x["value"]) >= 16)
     return F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(spans(text, HEX, text.rlike("[0-9a-f]{32}")), "hex", 2))
 
@@ -82,9 +83,8 @@ def secrets(docs: DataFrame, model: dict[str, float], *, least: float = LEAST_RA
     rows = rows.withColumn("base", base_spans(F.col("text")))
     if not model:
         return rows.select("doc_id", "base", F.filter("base", lambda _: F.lit(False)).alias("more"))
-    # a word of letters alone that is all lower case, but for a capital at its start, is ordinary: not scored
-    odd = r"[0-9+/_=-]|[a-z][A-Z]|[A-Z]{2}"
-    words = F.filter(spans(F.col("text"), WORD, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{16}")), lambda x: x["value"].rlike(odd) & (ratio(x["value"], model) >= least))
+    # words of small letters alone, but for a capital at the start, are ordinary: not scored
+    words = F.filter(spans(F.col("text"), WORD, F.col("text").rlike(r"[0-9+/_=-]|[a-z][A-Z]")), lambda x: ratio(x["value"], model) >= least)
     more = let(F.col("base"), lambda base: apart(labelled(words, "random", 3), base))
     return rows.select("doc_id", "base", more.alias("more"))
 
