@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import let, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
-SAMPLE_DOCS = 50_000  # documents that labelers and classifier are learnt from, about
+SAMPLE_DOCS = 20_000  # documents that labelers and classifier are learnt from, about
 SURE = 0.9
 # fixed values: the patterns of the contract; a lookbehind and possessive runs keep long texts linear
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"

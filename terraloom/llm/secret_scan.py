@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import let, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
-SAMPLE_DOCS = 50_000  # documents that the models are learnt from, about
+SAMPLE_DOCS = 10_000  # documents that the models are learnt from, about
 LEAST_RATIO = 1.0  # per character
 # fixed values: the patterns of the contract
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
