@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import table, text_slices
 
 CHAIN = 64
-SAMPLE = 2_000  # labelled documents of each class that are learnt from, at most
-SAMPLE_BYTES = 20_000  # of a text that is learnt from
+SAMPLE = 1_000  # labelled documents of each class that are learnt from, at most
+SAMPLE_BYTES = 6_000  # of a text that is learnt from
 THRESHOLD = 0.7
 _ENDS = ".,;:!?\"'()[]{}<>«»“”„…-*_"
 SCORES = "score double, toxic_tokens long, spans string"
