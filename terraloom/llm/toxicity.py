@@ -13,7 +13,6 @@ Null and empty texts have no tokens: their score is that of a document without a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +25,9 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import table, text_slices
 
 CHAIN = 64
-SAMPLE = 1_000  # labelled documents of each class that are learnt from, at most
-SAMPLE_BYTES = 6_000  # of a text that is learnt from
+SAMPLE = 1_000  # toxic documents that are learnt from, about
+CLEAN = 4  # other documents to each of them
+SAMPLE_BYTES = 8_000  # of a text that is learnt from
 THRESHOLD = 0.7
 _ENDS = ".,;:!?\"'()[]{}<>«»“”„…-*_"
 SCORES = "score double, toxic_tokens long, spans string"
@@ -41,10 +41,6 @@ class Model:
     document: np.ndarray  # of the logistic function: constant, largest marginal's logit, expected tokens
 
 
-def features(word: str) -> tuple[str, str, str]:
-    return f"={word}", f"4:{word[:4]}", f"5:{word[:5]}"
-
-
 def clean(token: str) -> str:
     return token.strip(_ENDS)
 
@@ -104,14 +100,13 @@ class Chains:
         return p[self.step, self.column], changes, float(log.sum())
 
 
-def markers(counts: list[tuple[set[str], int]], least: float = 3.0, seen: int = 3) -> set[str]:
-    """Features in documents (features, label) whose log-odds under label 1 are above `least`."""
-    toxic, other, n = Counter(), Counter(), [0, 0]
-    for own, label in counts:
-        (toxic if label else other).update(own)
-        n[label] += 1
-    odds = lambda f: np.log((toxic[f] + 0.5) / (n[1] + 1)) - np.log((other[f] + 0.5) / (n[0] + 1))
-    return {f for f in toxic if toxic[f] >= seen and odds(f) > least and len(f) > 5}
+def markers(doc: np.ndarray, feature: np.ndarray, n: int, label: np.ndarray, least: float = 3.0) -> np.ndarray:
+    """Which of n features have log-odds under label 1 above `least`, by the documents they occur in."""
+    pairs = np.unique(doc * n + feature)
+    toxic = label[pairs // n] == 1
+    held = [np.bincount(pairs[at] % n, minlength=n) for at in (toxic, ~toxic)]
+    odds = np.log((held[0] + 0.5) / ((label == 1).sum() + 1)) - np.log((held[1] + 0.5) / ((label == 0).sum() + 1))
+    return odds > least
 
 
 def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
@@ -119,18 +114,29 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return Model({}, -10.0, np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
     coded, offs = tokens_of(pa.array([t for t, _ in rows], pa.large_string()))
-    words = [clean(w) for w in coded.dictionary.to_pylist()]
-    types = coded.indices.to_numpy(zero_copy_only=False)
+    words = pc.utf8_trim(coded.dictionary, characters=_ENDS).dictionary_encode()
+    types = words.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+    words = words.dictionary
     label = np.array([y for _, y in rows])
-    of_word = [features(w) for w in words]
-    docs = [({f for k in set(types[a:b].tolist()) for f in of_word[k]}, int(y)) for a, b, y in zip(offs[:-1], offs[1:], label, strict=True)]
-    marked = markers(docs)
-    toxic_type = np.array([any(f in marked for f in fs) for fs in of_word], bool)
     doc = np.repeat(np.arange(len(label)), np.diff(offs))
+    spaces, toxic_type = [], np.zeros(len(words), bool)
+    for prefix, size in (("=", None), ("4:", 4), ("5:", 5)):
+        part = (words if size is None else pc.utf8_slice_codeunits(words, 0, size)).dictionary_encode()
+        own = part.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        long = pc.utf8_length(part.dictionary).to_numpy(zero_copy_only=False) >= (size or 4)
+        marked = markers(doc, own[types], len(part.dictionary), label) & long
+        toxic_type |= marked[own]
+        spaces.append((prefix, part.dictionary, own))
+    pairs, names = [], []
+    for prefix, dictionary, own in spaces:  # the features of words that hold a marker
+        used = np.unique(own[toxic_type])
+        at = np.full(len(dictionary), -1)
+        at[used] = np.arange(len(names), len(names) + len(used))
+        names += [prefix + dictionary[int(k)].as_py() for k in used]
+        held = np.flatnonzero(at[own] >= 0)
+        pairs.append(np.stack([held, at[own[held]]], 1))
+    pairs = np.concatenate(pairs)
     y = (toxic_type[types] & (label[doc] == 1)).astype(float)
-    names = sorted({f for fs, t in zip(of_word, toxic_type, strict=True) if t for f in fs})
-    index = {f: i for i, f in enumerate(names)}
-    pairs = np.array([(k, index[f]) for k, fs in enumerate(of_word) for f in fs if f in index], np.int64).reshape(-1, 2)
     chains = Chains(offs)
     follow = np.flatnonzero((chains.step > 0))
     state = y.astype(np.int64)
@@ -226,10 +232,13 @@ def _places(text: str, numbers: list[int]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train on at most `sample` labelled documents of each class, of texts up to sample_bytes, in hash order."""
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes), "doc_id")
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect() for y in (0, 1)]
-    return train([(r.text, r.toxic) for part in parts for r in part])
+    """Train on about `sample` toxic and CLEAN times as many other labelled documents of up to sample_bytes, chosen by a hash."""
+    fine = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(fine, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)))
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = {y: round(1_000_000 * min(1.0, most / max(1, n.get(y, 0)))) for y, most in ((0, CLEAN * sample), (1, sample))}
+    rows = known.where(F.col("h") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("text", "toxic").collect()  # about (1 + CLEAN) * sample
+    return train([(r.text, r.toxic) for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
