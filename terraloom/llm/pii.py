@@ -82,6 +82,7 @@ def shape(value: Column) -> list[Column]:
         F.least(dots, F.lit(4)),
         F.when(value.rlike(r"[A-Za-z]{2}"), 1).otherwise(0),
         F.when(size >= 24, 4).when(size >= 16, 3).when(size >= 10, 2).when(size >= 5, 1).otherwise(0),
+        F.when(value.rlike("[A-Za-z][0-9]+[A-Za-z]") & ~value.contains("@"), 1).otherwise(0),
         F.when(value.startswith("+"), 2).when(value.rlike("[-()]"), 1).otherwise(0),
     ]
 

@@ -19,6 +19,7 @@ from terraloom.llm.spans import apart, joined, labelled, spans
 
 SAMPLE_DOCS = 10_000  # documents that the models are learnt from, about
 LEAST_RATIO = 1.0  # per character
+LEAN = 5.0  # weight of a character's own frequency in its transitions
 # fixed values: the patterns of the contract
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)$"""
@@ -50,16 +51,24 @@ def samples(docs: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def fit(labelled_words: DataFrame) -> dict[str, float]:
-    """Log-likelihood ratio (random to ordinary) of each character pair, with one added to every count."""
+    """Log-likelihood ratio (random to ordinary) of each character pair."""
     pairs = labelled_words.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
     rows = pairs.where(F.length("pair") == 2).groupBy("random", "pair").count().collect()  # at most two for each pair of the alphabet
     n: dict[tuple[bool, str], int] = {(r.random, r.pair): r["count"] for r in rows}
     total: dict[tuple[bool, str], int] = {}
+    single: dict[tuple[bool, str], int] = {}
     for (kind, pair), count in n.items():
         total[kind, pair[0]] = total.get((kind, pair[0]), 0) + count
+        single[kind, pair[1]] = single.get((kind, pair[1]), 0) + count
     if not any(kind for kind, _ in n):
         return {}
-    log = lambda kind, a, b: math.log((n.get((kind, a + b), 0) + 1) / (total.get((kind, a), 0) + len(ALPHABET)))
+    every = {kind: sum(c for (k, _), c in single.items() if k == kind) for kind in (True, False)}
+
+    def log(kind: bool, a: str, b: str) -> float:
+        """A transition's probability; rare contexts lean on how frequent the character is."""
+        alone = (single.get((kind, b), 0) + 1) / (every[kind] + len(ALPHABET))
+        return math.log((n.get((kind, a + b), 0) + LEAN * alone) / (total.get((kind, a), 0) + LEAN))
+
     return {a + b: log(True, a, b) - log(False, a, b) for a in ALPHABET for b in ALPHABET}
 
 
