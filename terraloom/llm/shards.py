@@ -33,7 +33,8 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, bucket_
     before = F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = docs.select(bucket).groupBy("_bucket").agg(F.count("*").alias("n")).select("_bucket", before.alias("_first"))
     record = F.struct("doc_id", "text", *[c for c in names if c not in ("doc_id", "text")])
-    held = docs.select(bucket, record.alias("r")).repartition("_bucket").groupBy("_bucket").agg(F.collect_list("r").alias("held"))
+    parts = min(buckets, 100_000)  # as many tasks as buckets, so that a task stays as large at any input
+    held = docs.select(bucket, record.alias("r")).repartition(parts, "_bucket").groupBy("_bucket").agg(F.collect_list("r").alias("held"))
     held = held.join(sizes, "_bucket").select("_bucket", "_first", F.array_sort("held").alias("held")).sortWithinPartitions("_bucket")
     out = held.select("_first", F.posexplode(F.shuffle("held", seed)).alias("_at", "r"))
     # the first `more` shards hold one row more than the others
