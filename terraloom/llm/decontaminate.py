@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table, text_slices
+from terraloom.llm.common import table, text_slices, tidied
 
 WINDOW = 10
 PORTION_BYTES = 64 << 20
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                 columns += [pa.array(find.n_words), pa.array([sorted(covered.get(i, ())) for i in range(n)], pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "doc_id", "n_words", "positions", "items"])
 
-        return docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).mapInArrow(run, schema)
+        return docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).mapInArrow(tidied(run), schema)
 
     passes = [scan(spark.sparkContext.broadcast(p)) for p in _portions(benchmark, portion_bytes)]
     if len(passes) == 1:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import TOKENIZER_FILE, shared_dir, staged, table
+from terraloom.llm.common import TOKENIZER_FILE, shared_dir, staged, table, tidied
 from terraloom.llm.tokens import binary_column, rows_of, tokenizer_path
 
 LONGEST = 20
@@ -140,7 +140,7 @@ def _encoded(path: str, end_id: int, itemsize: int):
             )
             row += n
 
-    return run
+    return tidied(run)
 
 
 def _counted(itemsize: int):
@@ -153,7 +153,7 @@ def _counted(itemsize: int):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    return run
+    return tidied(run)
 
 
 def _blocks(bits: np.ndarray, itemsize: int):
@@ -180,7 +180,7 @@ def _blocks(bits: np.ndarray, itemsize: int):
         if held:
             yield flush()
 
-    return run
+    return tidied(run)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, *, itemsize: int = 2) -> None:
@@ -232,7 +232,7 @@ def read_tokens(spark: SparkSession, folder: str, *, digest: bool = False) -> Da
                 )
 
     blocks = spark.read.schema("part int, row long, docs long, tokens long, payload binary").parquet(f"{folder}/blocks")
-    docs = blocks.select("part", "row", "payload").mapInArrow(run, f"part int, row long, doc_id long, inside long, n_tokens long, {last}")
+    docs = blocks.select("part", "row", "payload").mapInArrow(tidied(run), f"part int, row long, doc_id long, inside long, n_tokens long, {last}")
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("of_part"))  # a row for each part
     before = F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("base"))

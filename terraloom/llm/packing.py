@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm.common import TOKENIZER_FILE, table
+from terraloom.llm.common import TOKENIZER_FILE, table, tidied
 from terraloom.llm.tokens import rows_of, tokenizer_path
 
 WINDOW = 1024
@@ -121,7 +121,7 @@ def packed(docs: DataFrame, path: str, end_id: int, *, tiers: tuple[int, ...] =
             kinds = [pa.int32() if "int" in x.split() else pa.int64() for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

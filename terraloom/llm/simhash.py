@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import staged, table
+from terraloom.llm.common import staged, table, tidied
 from terraloom.llm.components import components
 
 BITS = 4
@@ -60,7 +60,7 @@ def with_fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
                 fps = np.array([fingerprint(x.as_py(), words) for x in part.column(1)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 @cache
@@ -173,7 +173,7 @@ def near_links(fps: DataFrame, *, bits: int = BITS, hot: int = HOT) -> DataFrame
                 i, k = keys(own)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[i])], ["k", "fp"])
 
-    found = fps.select("fp").mapInArrow(expand, "k long, fp long")
+    found = fps.select("fp").mapInArrow(tidied(expand), "k long, fp long")
     large = found.groupBy("k").count().where(F.col("count") > hot).select("k", F.ceil(F.col("count") / hot).cast("int").alias("n"))
     block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     # block i meets block j in the bucket (i, j); a cool bucket is one block
@@ -181,7 +181,7 @@ def near_links(fps: DataFrame, *, bits: int = BITS, hot: int = HOT) -> DataFrame
     dealt = found.join(large, "k", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", block)
     dealt = dealt.select("k", F.explode(pair).alias("block"), "fp")
     dealt = dealt.repartition("k", "block").sortWithinPartitions("k", "block")
-    return dealt.mapInArrow(lambda batches: _links_of_sorted(batches, bits), "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(lambda batches: _links_of_sorted(batches, bits)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = BITS) -> DataFrame:

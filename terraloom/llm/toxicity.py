@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table, text_slices
+from terraloom.llm.common import table, text_slices, tidied
 
 CHAIN = 64
 SAMPLE = 1_000  # toxic documents that are learnt from, about
@@ -252,7 +252,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(x.split()[0] for x in SCORES.split(", "))])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [SCORES])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,4 +279,4 @@ def scored_in_place(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*names, "_score"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["_score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
