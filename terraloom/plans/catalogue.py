@@ -18,6 +18,11 @@ MERC = "radians({p}lon) * 6378137.0D AS {q}x, ln(tan(0.7853981633974483D + radia
 _JOINED = f"""WITH fm AS (SELECT *, {MERC.format(p='', q='p')} FROM feat), lm AS (SELECT *, {MERC.format(p='', q='c')} FROM loc),
 pairs AS (SELECT loc_id, feature_id, geom_type, f.lat AS flat, f.lon AS flon, l.lat AS llat, l.lon AS llon, amenity, shop, highway, "natural", landuse, building, waterway, tourism, area, length,
   sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS d FROM fm f JOIN lm l ON px BETWEEN cx - 200000.0D AND cx + 200000.0D AND py BETWEEN cy - 200000.0D AND cy + 200000.0D)"""
+# the same pairs for Spark, by tiles as wide as the boxes: an equi-join in place of a nested loop
+_TILED = f"""WITH fm AS (SELECT *, floor(px / 400000.0D) AS tx, floor(py / 400000.0D) AS ty FROM (SELECT *, {MERC.format(p='', q='p')} FROM feat) f0m), lm AS (SELECT *, {MERC.format(p='', q='c')} FROM loc),
+lx AS (SELECT *, {{seq:floor((cx - 200000.0D) / 400000.0D);floor((cx + 200000.0D) / 400000.0D)}} AS tx FROM lm), lt AS (SELECT *, {{seq:floor((cy - 200000.0D) / 400000.0D);floor((cy + 200000.0D) / 400000.0D)}} AS ty FROM lx),
+pairs AS (SELECT loc_id, feature_id, geom_type, f.lat AS flat, f.lon AS flon, l.lat AS llat, l.lon AS llon, amenity, shop, highway, "natural", landuse, building, waterway, tourism, area, length,
+  sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS d FROM fm f JOIN lt l ON f.tx = l.tx AND f.ty = l.ty AND px BETWEEN cx - 200000.0D AND cx + 200000.0D AND py BETWEEN cy - 200000.0D AND cy + 200000.0D)"""
 _TAGS = ("amenity", "shop", "highway", '"natural"', "landuse", "building", "waterway", "tourism")
 _COUNTS = _JOINED + ", counts AS (SELECT l.loc_id, l.lat, l.lon, " + ", ".join(f"count(CASE WHEN geom_type = '{k}' THEN 1 END) AS n_{k}s" for k in ("point", "line", "polygon")) + ", " + ", ".join(f"count({t}) AS n_{t.strip(chr(34))}" for t in _TAGS) + " FROM loc l LEFT JOIN pairs p ON l.loc_id = p.loc_id GROUP BY l.loc_id, l.lat, l.lon)"
 _CATS = " + ".join(f"CASE WHEN n_{t.strip(chr(34))} > 0 THEN 1 ELSE 0 END" for t in _TAGS)
@@ -51,11 +56,20 @@ def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a_box_id").alias("src"), F.col("b_box_id").alias("dst"), "rel").union(pairs.select("b_box_id", "a_box_id", back))
 
 
+def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, "box")
+    corners = boxes.select(F.col("box_id").alias("corner_of"), F.col("xmin").alias("px"), F.col("ymin").alias("py"))
+    return spatial.points_in_boxes(corners, boxes, 16.0).where("corner_of <> box_id").groupBy("box_id").agg(F.count("*").alias("n"))
+
+
 _REL = """CASE WHEN a.xmin > b.xmax OR b.xmin > a.xmax OR a.ymin > b.ymax OR b.ymin > a.ymax THEN 1
  WHEN a.xmin = b.xmax OR b.xmin = a.xmax OR a.ymin = b.ymax OR b.ymin = a.ymax THEN 2
  WHEN b.xmin <= a.xmin AND b.ymin <= a.ymin AND b.xmax >= a.xmax AND b.ymax >= a.ymax THEN 5
  WHEN a.xmin <= b.xmin AND a.ymin <= b.ymin AND a.xmax >= b.xmax AND a.ymax >= b.ymax THEN 4 ELSE 3 END"""
 _PAIRS = f"WITH r AS (SELECT a.box_id AS src, b.box_id AS dst, {_REL} AS rel FROM box a JOIN box b ON a.box_id < b.box_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax)"
+_TILED_PAIRS = f"""WITH bx AS (SELECT *, {{seq:floor(xmin / 16.0D);floor(xmax / 16.0D)}} AS tx FROM box), bt AS (SELECT *, {{seq:floor(ymin / 16.0D);floor(ymax / 16.0D)}} AS ty FROM bx),
+ r AS (SELECT a.box_id AS src, b.box_id AS dst, {_REL} AS rel FROM bt a JOIN bt b ON a.tx = b.tx AND a.ty = b.ty AND a.box_id < b.box_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax
+  AND a.tx = floor(greatest(a.xmin, b.xmin) / 16.0D) AND a.ty = floor(greatest(a.ymin, b.ymin) / 16.0D))"""
 _QUOTA = " ".join(f"WHEN '{n}' THEN {q}" for n, q in scoring.quotas(40).items())
 
 #: name: (DataFrame query, SQL for DuckDB)
@@ -65,6 +79,7 @@ FRAMES: dict[str, tuple[Query, str]] = {
     "select_diverse": (select_diverse, f"""{_SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY md5(concat('42:', cast(loc_id AS varchar(20))))) AS r FROM scored),
  k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('42:', cast(loc_id AS varchar(20))))) AS k FROM c WHERE r <= 2) SELECT loc_id, bucket, cell FROM k WHERE k <= CASE bucket {_QUOTA} END"""),
     "box_relations": (box_relations, f"{_PAIRS} SELECT src, dst, rel FROM r UNION ALL SELECT dst, src, CASE rel WHEN 5 THEN 4 WHEN 4 THEN 5 ELSE rel END FROM r"),
+    "point_in_box": (point_in_box, "SELECT b.box_id, count(*) AS n FROM box b JOIN box p ON p.xmin BETWEEN b.xmin AND b.xmax AND p.ymin BETWEEN b.ymin AND b.ymax WHERE p.box_id <> b.box_id GROUP BY b.box_id"),
 }
 
 _KVN = "WITH c AS (SELECT cast(floor(lat / 10.0D) AS int) AS cell, k, v, count(*) AS n FROM kv GROUP BY cast(floor(lat / 10.0D) AS int), k, v)"
@@ -125,7 +140,6 @@ SQL: dict[str, str] = {
     "semi_density": "SELECT loc_id FROM loc WHERE EXISTS (SELECT 1 FROM feat WHERE cast(floor(feat.lat) AS int) = cast(floor(loc.lat) AS int) AND cast(floor(feat.lon) AS int) = cast(floor(loc.lon) AS int))",
     "cache_anti_join": "SELECT loc_id, 'new' AS state FROM loc l WHERE NOT EXISTS (SELECT 1 FROM loc c WHERE c.loc_id % 3 = 0 AND round(c.lat, 6) = round(l.lat, 6) AND round(c.lon, 6) = round(l.lon, 6)) UNION ALL SELECT loc_id, 'cached' FROM loc WHERE loc_id % 3 = 0",
     "multi_radius": _JOINED + " SELECT loc_id, r, count(*) AS n FROM pairs JOIN (SELECT 50000.0D AS r UNION ALL SELECT 100000.0D UNION ALL SELECT 200000.0D) q ON d <= r GROUP BY loc_id, r",
-    "point_in_box": "SELECT b.box_id, count(*) AS n FROM box b JOIN box p ON p.xmin BETWEEN b.xmin AND b.xmax AND p.ymin BETWEEN b.ymin AND b.ymax WHERE p.box_id <> b.box_id GROUP BY b.box_id",
     "relation_one_hot": _PAIRS + " SELECT src, dst, CASE WHEN rel = 2 THEN 1.0D ELSE 0.0D END AS touches, CASE WHEN rel = 3 THEN 1.0D ELSE 0.0D END AS overlaps, CASE WHEN rel = 4 THEN 1.0D ELSE 0.0D END AS covered, CASE WHEN rel = 5 THEN 1.0D ELSE 0.0D END AS covers FROM r WHERE rel NOT IN (1, 7)",
     "graph_self_edges": "SELECT box_id AS src, box_id AS dst, 0 AS rel FROM box",
     "level_selection": "WITH m AS (SELECT loc_id, lv, ln(100.0D * lv) AS lb, ln(greatest(1.0D, (loc_id * lv) % 50 * 1.0D)) AS nn, (loc_id * lv) % 50 AS nodes, {u:concat(cast(loc_id AS varchar(20)), ':', cast(lv AS varchar(20)))} AS rich FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a), n AS (SELECT *, CASE WHEN max(lb) OVER w = min(lb) OVER w THEN 1.0D ELSE (lb - min(lb) OVER w) / (max(lb) OVER w - min(lb) OVER w) END AS bn, CASE WHEN max(nn) OVER w = min(nn) OVER w THEN 1.0D ELSE (nn - min(nn) OVER w) / (max(nn) OVER w - min(nn) OVER w) END AS on1 FROM m WINDOW w AS (PARTITION BY loc_id)), s AS (SELECT *, rich - 0.1D * bn - 0.5D * on1 - CASE WHEN nodes < 10 THEN 2.0D ELSE 0.0D END AS score FROM n) SELECT loc_id, cast(lv AS int) AS level, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY score DESC, lv) AS k FROM s) z WHERE k = 1",
@@ -149,7 +163,8 @@ SQL: dict[str, str] = {
 
 
 def _plain(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(spark_sql(sql, sf_dir))
+    """The text in Spark, its range joins by tiles; DuckDB runs them as they are written."""
+    return spark.sql(spark_sql(sql.replace(_JOINED, _TILED).replace(_PAIRS, _TILED_PAIRS), sf_dir))
 
 
 def queries() -> dict[str, Query]:
