@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-ENCODE_BYTES = 1 << 20  # of text encoded at once
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _WHOLE = rf"^[ \n]|[ \n]$|[ \n]{_SPACE}|{_SPACE}[ \n]|\x1f"
 
@@ -37,7 +36,7 @@ def _byte_letters() -> dict[int, str]:
 class SliceEncoder:
     """Encodes string arrays to (ids, offsets); keeps up to `keep` distinct parts."""
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -134,7 +133,4 @@ def rows_of(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: in
 
     enc = encoder(path)
     for part in text_slices(batches, "text", limit):
-        found = [enc.encode(x.column(x.schema.get_field_index("text"))) for x in text_slices(iter([part]), "text", ENCODE_BYTES)]
-        base = np.cumsum([0, *(len(ids) for ids, _ in found)])
-        offsets = np.concatenate([np.zeros(1, np.int64), *(offs[1:] + at for (_, offs), at in zip(found, base, strict=False))])
-        yield part, *with_end(np.concatenate([ids for ids, _ in found]), offsets, end_id)
+        yield part, *with_end(*enc.encode(part.column(part.schema.get_field_index("text"))), end_id)
