@@ -1,8 +1,9 @@
 """Removal of benchmark text: word windows of test items, looked up in every window of every document.
 
 The windows of the test items go to all executors as sorted hashes with the words behind them, in portions of a
-bounded size; benchmarks beyond one portion take one pass for each, and the hits are joined by document. A hit
-of the hash is held against the words, so collisions count for nothing.
+bounded size; benchmarks beyond one portion take one pass for each, in which every row carries what the passes
+before found, so no row is shuffled or looked up by its id. A hit of the hash is held against the words, so
+collisions count for nothing.
 
 Words are runs of 0-9, a-z (A-Z in lower case) and characters beyond ASCII. Null texts have no words. Repeated
 rows and rows without an id are kept, each with its own result.
@@ -19,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table, text_slices, tidied
+from terraloom.llm.common import staged, table, text_slices, tidied
 
 WINDOW = 10
-PORTION_BYTES = 64 << 20
+PORTION_BYTES = 8 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-HITS = "doc_id long, n_words long, positions array<long>, items array<long>"
+HITS = "n_words long, positions array<long>, items array<long>"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -52,28 +53,31 @@ class Windows:
     """The distinct windows of some items, by length."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int) -> None:
-        names = [i for i, _ in items]
+        self.names = [i for i, _ in items]
         words, offs = words_of(pa.array([t for _, t in items], pa.large_string()))
         coded = words.dictionary_encode()
         self.vocabulary, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for name, a, b in zip(names, offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            size = min(window, b - a)
-            for at in range(a, b - size + 1) if size else ():
-                found.setdefault(size, {}).setdefault(tuple(ids[at : at + size].tolist()), set()).add(name)
+        n = np.diff(offs)
         self.by_size = {}
-        for size, held in found.items():
-            rows = np.array(list(held), np.int64).reshape(-1, size)
-            names, hashes = [sorted(x) for x in held.values()], _hash(rows)
-            order = np.argsort(hashes, kind="stable")
-            self.by_size[size] = (hashes[order], rows[order], [names[k] for k in order.tolist()])
+        for size in np.unique(np.minimum(n, window)[n > 0]).tolist():
+            own = np.flatnonzero(np.minimum(n, window) == size)
+            count = n[own] - size + 1
+            item = np.repeat(own, count)
+            starts = np.repeat(offs[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            rows = ids[starts[:, None] + np.arange(size)]
+            hashes = _hash(rows)
+            order = np.lexsort((item, hashes))
+            hashes, rows, item = hashes[order], rows[order], item[order]
+            first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]).any(1)]))
+            # a window, and where its items start and end; colliding windows may stand there in several places
+            self.by_size[size] = (hashes[first], rows[first], item, np.append(first, len(item)))
 
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int, list[int]]]:
         """(text, word position in it, words, items) of each window that occurs."""
         words, offs = words_of(texts)
         ids = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, (hashes, rows, names) in self.by_size.items():
+        for size, (hashes, rows, item, bound) in self.by_size.items():
             starts = np.flatnonzero(known[size:] - known[:-size] == size) if len(ids) >= size else np.zeros(0, np.int64)
             text = np.searchsorted(offs, starts, "right") - 1
             inside = starts + size <= offs[np.minimum(text + 1, len(offs) - 1)]
@@ -90,7 +94,7 @@ class Windows:
                     same = np.flatnonzero(live)
                     same = same[(rows[k[same]] == seen[same]).all(1)]
                     for j in same.tolist():
-                        yield int(text[at + j]), int(some[j] - offs[text[at + j]]), size, names[k[j]]
+                        yield int(text[at + j]), int(some[j] - offs[text[at + j]]), size, [self.names[i] for i in item[bound[k[j]] : bound[k[j] + 1]].tolist()]
                     k = np.where(live, k + 1, len(hashes))
         self.n_words = np.diff(offs)
 
@@ -110,37 +114,35 @@ def _portions(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, portion_bytes: int = PORTION_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) with n_words, positions (words hit, ascending) and items (that occur, ascending).
 
-    keep: more columns of docs to carry; only with a benchmark of one portion.
+    keep: more columns of docs to carry.
     """
     spark = docs.sparkSession
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [HITS])
 
-    def scan(shared):
+    def scan(rows: DataFrame, shared, carried: tuple[str, ...], more: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = Windows(shared.value, window)
             for part in text_slices(batches, "text"):
-                covered: dict[int, set[int]] = {}
-                items: dict[int, set[int]] = {}
-                for text, at, size, names in find.hits(part.column(part.schema.get_field_index("text"))):
+                at_name = part.schema.get_field_index
+                old = [part.column(at_name(c)).to_pylist() for c in ("positions", "items")] if more else [[()] * part.num_rows] * 2
+                covered, items = ({i: set(x) for i, x in enumerate(column) if x} for column in old)
+                for text, at, size, names in find.hits(part.column(at_name("text"))):
                     covered.setdefault(text, set()).update(range(at, at + size))
                     items.setdefault(text, set()).update(names)
                 n = part.num_rows
-                columns = [part.column(part.schema.get_field_index(c)) for c in (*keep, "doc_id")]
+                columns = [part.column(at_name(c)) for c in carried]
                 columns += [pa.array(find.n_words), pa.array([sorted(covered.get(i, ())) for i in range(n)], pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "doc_id", "n_words", "positions", "items"])
-
-        return docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).mapInArrow(tidied(run), schema)
-
-    passes = [scan(spark.sparkContext.broadcast(p)) for p in _portions(benchmark, portion_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    if keep:
-        raise ValueError("a benchmark of several portions: join the result to docs instead")
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merge("positions").alias("positions"), merge("items").alias("items"))
+                yield pa.RecordBatch.from_arrays(columns, [*carried, "n_words", "positions", "items"])
+
+        schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried] + [HITS])
+        return rows.mapInArrow(tidied(run), schema)
+
+    wanted = tuple(dict.fromkeys([*keep, "doc_id"]))
+    out, waiting = docs.select(*dict.fromkeys([*wanted, "text"])), None
+    for k, portion in enumerate(_portions(benchmark, portion_bytes)):
+        if waiting is not None:  # written, so that one pass alone holds a portion in memory
+            out = staged(scan(out, waiting, tuple(dict.fromkeys([*wanted, "text"])), k > 1))
+        waiting, last = spark.sparkContext.broadcast(portion), k > 0
+    return scan(out, waiting, wanted, last)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
