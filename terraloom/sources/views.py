@@ -16,7 +16,7 @@ VIEWS = {
   CASE sk % 4 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary' END AS highway, CASE WHEN pk % 11 = 3 THEN 'tree' END AS "natural",
   CASE pk % 6 WHEN 4 THEN 'forest' WHEN 5 THEN 'retail' END AS landuse, CASE WHEN sk % 3 = 1 THEN 'yes' END AS building, CASE WHEN sk % 13 = 0 THEN 'river' END AS waterway,
   CASE WHEN pk % 17 = 0 THEN 'museum' END AS tourism, 1.0D + pk % 50 AS area, 1.0D + sk % 40 AS length FROM f0""",
-    "loc": "SELECT o_orderkey AS loc_id, ((o_custkey * 7919) % 120000) / 1000.0D - 60.0D AS lat, ((o_orderkey * 104729) % 360000) / 1000.0D - 180.0D AS lon FROM orders WHERE o_orderkey < 300",
+    "loc": "SELECT o_orderkey AS loc_id, ((o_custkey * 7919) % 120000) / 1000.0D - 60.0D AS lat, ((o_orderkey * 104729) % 360000) / 1000.0D - 180.0D AS lon FROM orders",
     "kv": " UNION ALL ".join(f"""SELECT feature_id, geom_type, lat, lon, '{k}' AS k, {q} AS v FROM feat WHERE {q} IS NOT NULL""" for k, q in (("amenity", "amenity"), ("shop", "shop"), ("highway", "highway"), ("natural", '"natural"'), ("landuse", "landuse"), ("building", "building"), ("waterway", "waterway"), ("tourism", "tourism"))),
     "box": """SELECT p_partkey AS box_id, cast((p_partkey * 37) % 400 AS double) AS xmin, cast((p_partkey * 91) % 300 AS double) AS ymin,
   cast((p_partkey * 37) % 400 + 1 + p_size % 7 AS double) AS xmax, cast((p_partkey * 91) % 300 + 1 + p_size % 5 AS double) AS ymax FROM part""",
