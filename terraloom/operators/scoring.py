@@ -55,8 +55,25 @@ def stratified(scored: DataFrame, total: int, per_cell: int, seed: int) -> DataF
     """At most per_cell locations of each (bucket, cell), in hash order; then each bucket's quota, again in hash order."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("loc_id").cast("string")))
     capped = scored.withColumn("key", key).withColumn("r", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("key"))).where(F.col("r") <= per_cell)
-    quota = F.lit(0)
-    for n, q in quotas(total).items():
+    shares, quota = quotas(total), F.lit(0)
+    for n, q in shares.items():
         quota = F.when(F.col("bucket") == n, q).otherwise(quota)
     ranked = capped.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("key")))
-    return ranked.where(F.col("k") <= quota).drop("r", "k", "key")
+    # the constant bound lets each task drop rows before a bucket meets in one
+    return ranked.where((F.col("k") <= max(shares.values())) & (F.col("k") <= quota)).drop("r", "k", "key")
+
+
+def hash_ranked(df: DataFrame, name: str, seed: int, digits: int = 3) -> DataFrame:
+    """df with place, from 1, in the order of md5("seed:name"), and total, the number of rows.
+
+    Rows are ranked inside 16 ** digits ranges of the hash, which are about equal; only the ranges' sizes are summed
+    in one task and broadcast. Rows with one value of name stand beside each other; null has no place, and comes before the others.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")))
+    rows = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, digits))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = rows.groupBy("_range").count()
+    sizes = sizes.select(F.col("_range").alias("_of"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_base"), F.sum("count").over(every).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    ranked = rows.withColumn("_inside", inside).join(F.broadcast(sizes), F.col("_range").eqNullSafe(F.col("_of")))
+    return ranked.withColumn("place", F.when(F.col("_range").isNotNull(), F.col("_base") + F.col("_inside"))).drop("_key", "_range", "_inside", "_of", "_base")

@@ -62,6 +62,15 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.points_in_boxes(corners, boxes, 16.0).where("corner_of <> box_id").groupBy("box_id").agg(F.count("*").alias("n"))
 
 
+def hash_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.hash_ranked(view(spark, sf_dir, "loc").select("loc_id"), "loc_id", 17).select("loc_id", "place")
+
+
+def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = scoring.hash_ranked(view(spark, sf_dir, "loc").select("loc_id"), "loc_id", 17)
+    return ranked.select("loc_id", F.when(F.col("place") <= F.floor(F.col("total") * 0.1), "val").otherwise("train").alias("split"))
+
+
 _REL = """CASE WHEN a.xmin > b.xmax OR b.xmin > a.xmax OR a.ymin > b.ymax OR b.ymin > a.ymax THEN 1
  WHEN a.xmin = b.xmax OR b.xmin = a.xmax OR a.ymin = b.ymax OR b.ymin = a.ymax THEN 2
  WHEN b.xmin <= a.xmin AND b.ymin <= a.ymin AND b.xmax >= a.xmax AND b.ymax >= a.ymax THEN 5
@@ -80,6 +89,8 @@ FRAMES: dict[str, tuple[Query, str]] = {
  k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('42:', cast(loc_id AS varchar(20))))) AS k FROM c WHERE r <= 2) SELECT loc_id, bucket, cell FROM k WHERE k <= CASE bucket {_QUOTA} END"""),
     "box_relations": (box_relations, f"{_PAIRS} SELECT src, dst, rel FROM r UNION ALL SELECT dst, src, CASE rel WHEN 5 THEN 4 WHEN 4 THEN 5 ELSE rel END FROM r"),
     "point_in_box": (point_in_box, "SELECT b.box_id, count(*) AS n FROM box b JOIN box p ON p.xmin BETWEEN b.xmin AND b.xmax AND p.ymin BETWEEN b.ymin AND b.ymax WHERE p.box_id <> b.box_id GROUP BY b.box_id"),
+    "hash_permutation": (hash_permutation, "SELECT loc_id, cast(row_number() OVER (ORDER BY md5(concat('17:', cast(loc_id AS varchar(20))))) AS bigint) AS place FROM loc"),
+    "train_val_split": (train_val_split, "SELECT loc_id, CASE WHEN k <= floor(n * 0.1D) THEN 'val' ELSE 'train' END AS split FROM (SELECT loc_id, row_number() OVER (ORDER BY md5(concat('17:', cast(loc_id AS varchar(20))))) AS k, count(*) OVER () AS n FROM loc) a"),
 }
 
 _KVN = "WITH c AS (SELECT cast(floor(lat / 10.0D) AS int) AS cell, k, v, count(*) AS n FROM kv GROUP BY cast(floor(lat / 10.0D) AS int), k, v)"
@@ -129,7 +140,7 @@ SQL: dict[str, str] = {
     "density_raster": "SELECT cast(floor(lat) AS int) AS lat_bin, cast(floor(lon) AS int) AS lon_bin, count(*) AS cnt FROM feat WHERE geom_type = 'point' GROUP BY cast(floor(lat) AS int), cast(floor(lon) AS int) HAVING count(*) >= 1",
     "unique_labels": "SELECT count(DISTINCT concat(k, ':', v)) AS n FROM kv WHERE concat(k, ':', v) <> 'unknown:unknown'",
     "semantic_depth": "SELECT round(count(*) * 1.0D / max(n), 9) AS depth FROM kv JOIN (SELECT count(*) AS n FROM feat) f ON 1 = 1",
-    "feature_density": "SELECT loc_id, CASE WHEN b > 0 THEN round(n / ((2.0D * b / 1000.0D) * (2.0D * b / 1000.0D)), 9) END AS density FROM (SELECT loc_id, loc_id % 7 * 1.0D AS n, loc_id % 5 * 100.0D AS b FROM loc) x",
+    "feature_density": _JOINED + " SELECT l.loc_id, CASE WHEN b > 0.0D THEN round(n / ((2.0D * b / 1000.0D) * (2.0D * b / 1000.0D)), 9) END AS density FROM loc l LEFT JOIN (SELECT loc_id, count(*) AS n, 200000.0D AS b FROM pairs GROUP BY loc_id) c ON l.loc_id = c.loc_id",
     # bands
     "band_scopes": _BANDS + " SELECT loc_id, r, coalesce(ring, -1) AS ring, coalesce(sector, -1) AS sector, count(*) AS n, round(min(d), 3) AS nearest, round(sum(CASE WHEN geom_type = 'polygon' THEN area ELSE 0.0D END), 6) AS area, round(sum(CASE WHEN geom_type = 'line' THEN length ELSE 0.0D END) / (pi() * r * r / 1000000.0D), 9) AS line_density FROM bands GROUP BY GROUPING SETS ((loc_id, r), (loc_id, r, ring), (loc_id, r, sector))",
     "band_landuse": _BANDS + " SELECT loc_id, r, round(sum(CASE WHEN landuse = 'forest' THEN area ELSE 0.0D END) / sum(area), 9) AS natural_share, round(sum(CASE WHEN landuse = 'retail' THEN area ELSE 0.0D END) / sum(area), 9) AS commercial_share FROM bands WHERE geom_type = 'polygon' GROUP BY loc_id, r HAVING sum(area) >= 1.0D",
@@ -145,12 +156,12 @@ SQL: dict[str, str] = {
     "level_selection": "WITH m AS (SELECT loc_id, lv, ln(100.0D * lv) AS lb, ln(greatest(1.0D, (loc_id * lv) % 50 * 1.0D)) AS nn, (loc_id * lv) % 50 AS nodes, {u:concat(cast(loc_id AS varchar(20)), ':', cast(lv AS varchar(20)))} AS rich FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a), n AS (SELECT *, CASE WHEN max(lb) OVER w = min(lb) OVER w THEN 1.0D ELSE (lb - min(lb) OVER w) / (max(lb) OVER w - min(lb) OVER w) END AS bn, CASE WHEN max(nn) OVER w = min(nn) OVER w THEN 1.0D ELSE (nn - min(nn) OVER w) / (max(nn) OVER w - min(nn) OVER w) END AS on1 FROM m WINDOW w AS (PARTITION BY loc_id)), s AS (SELECT *, rich - 0.1D * bn - 0.5D * on1 - CASE WHEN nodes < 10 THEN 2.0D ELSE 0.0D END AS score FROM n) SELECT loc_id, cast(lv AS int) AS level, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY score DESC, lv) AS k FROM s) z WHERE k = 1",
     "first_level_with_data": "SELECT loc_id, cast(lv AS int) AS level FROM (SELECT loc_id, lv, min(CASE WHEN (loc_id + lv) % 3 = 0 THEN lv END) OVER (PARTITION BY loc_id) AS first_lv FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a) b WHERE lv >= first_lv",
     "take_while_limit": "SELECT loc_id, cast(lv AS int) AS level FROM (SELECT loc_id, lv, max(CASE WHEN loc_id * lv % 97 > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY loc_id ORDER BY lv ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a) b WHERE hit = 0",
-    "adaptive_expansion": "SELECT loc_id, cast(min(CASE WHEN ok THEN step END) AS int) AS step, round(min(CASE WHEN ok THEN size END), 6) AS size FROM (SELECT loc_id, step, size, size / 10.0D > loc_id AS ok FROM (SELECT loc_id, step, 250.0D * exp(step * ln(1.5D)) AS size FROM (SELECT loc_id, {seq:0;7} AS step FROM loc) a) b) c GROUP BY loc_id",
-    "finest_level": "SELECT loc_id % 50 AS g, min(CASE WHEN k = 1 THEN loc_id END) AS first_id, count(*) AS levels FROM (SELECT loc_id, row_number() OVER (PARTITION BY loc_id % 50 ORDER BY loc_id) AS k FROM loc) a GROUP BY loc_id % 50",
+    "adaptive_expansion": _JOINED + """, st AS (SELECT loc_id, step, size, count(*) AS nodes, count(DISTINCT concat(coalesce(amenity, ''), '|', coalesce(shop, ''), '|', coalesce(highway, ''))) AS labels
+  FROM pairs JOIN (SELECT 0 AS step, 50000.0D AS size UNION ALL SELECT 1, 75000.0D UNION ALL SELECT 2, 112500.0D UNION ALL SELECT 3, 168750.0D) z ON d <= size GROUP BY loc_id, step, size)
+ SELECT l.loc_id, min(step) AS step, min(size) AS size FROM loc l LEFT JOIN st ON l.loc_id = st.loc_id AND nodes >= 5 AND labels >= 3 GROUP BY l.loc_id""",
+    "finest_level": "SELECT loc_id % 50 AS g, min_by(loc_id, k) AS first_id, min_by(score, k) FILTER (WHERE score IS NOT NULL) AS score, count(*) AS levels FROM (SELECT loc_id, CASE WHEN loc_id % 3 > 0 THEN lat END AS score, row_number() OVER (PARTITION BY loc_id % 50 ORDER BY lon, loc_id) AS k FROM loc) a GROUP BY loc_id % 50",
     "row_cap": "SELECT geom_type, feature_id, n > 100 AS overflow FROM (SELECT geom_type, feature_id, row_number() OVER (PARTITION BY geom_type ORDER BY feature_id) AS k, count(*) OVER (PARTITION BY geom_type) AS n FROM feat) a WHERE k <= 100",
-    "hash_permutation": "SELECT loc_id, cast(row_number() OVER (ORDER BY md5(concat('17:', cast(loc_id AS varchar(20))))) AS bigint) AS place FROM loc",
-    "weighted_sample": "SELECT feature_id FROM (SELECT feature_id, row_number() OVER (ORDER BY ln({u:concat('w', cast(feature_id AS varchar(20)))} + 0.0000000001D) / (0.5D + feature_id % 10) DESC, feature_id) AS k FROM feat) a WHERE k <= 100",
-    "train_val_split": "SELECT loc_id, CASE WHEN k <= floor(n * 0.1D) THEN 'val' ELSE 'train' END AS split FROM (SELECT loc_id, row_number() OVER (ORDER BY md5(concat('17:', cast(loc_id AS varchar(20))))) AS k, count(*) OVER () AS n FROM loc) a",
+    "weighted_sample": "SELECT feature_id FROM (SELECT feature_id, ln({u:concat('w', cast(feature_id AS varchar(20)))} + 0.0000000001D) / (0.5D + feature_id % 10) AS w FROM feat) a ORDER BY w DESC, feature_id LIMIT 100",
     "bucket_quotas": "SELECT bucket, cast(base + CASE WHEN k <= 97 - sum(base) OVER () THEN 1 ELSE 0 END AS bigint) AS quota FROM (SELECT bucket, floor(97 * f) AS base, row_number() OVER (ORDER BY 97 * f - floor(97 * f) DESC, o) AS k FROM (SELECT 'very_low' AS bucket, 0.02D AS f, 0 AS o UNION ALL SELECT 'low', 0.12D, 1 UNION ALL SELECT 'medium', 0.77D, 2 UNION ALL SELECT 'high', 0.09D, 3) a) b",
     "insert_or_ignore": "SELECT k, loc_id FROM (SELECT loc_id % 40 AS k, loc_id, row_number() OVER (PARTITION BY loc_id % 40 ORDER BY loc_id) AS n FROM loc) a WHERE n = 1 AND k NOT IN (SELECT r_regionkey FROM region)",
     "resume_pending": "SELECT loc_id FROM loc EXCEPT SELECT loc_id FROM loc WHERE loc_id % 4 = 0 EXCEPT SELECT loc_id FROM loc WHERE loc_id % 9 = 1",
