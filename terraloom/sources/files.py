@@ -14,7 +14,7 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
     Rows without two numbers are left out. Raises ValueError where a column is missing or no row is left.
     """
     raw = spark.read.option("header", True).csv(path)
-    names = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
+    names = {c.lstrip("\ufeff").strip().lower(): c for c in raw.columns}
     lat, lon = (next((names[n] for n in own if n in names), None) for own in (("lat", "latitude"), ("lon", "longitude")))
     if lat is None or lon is None:
         raise ValueError(f"no latitude or longitude among {raw.columns}")

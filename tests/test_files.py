@@ -10,7 +10,7 @@ from terraloom.sources import files
 
 
 def test_locations_of_a_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("﻿Name, Longitude ,LATITUDE\nx,13.4,52.5\ny,bad,1\nz,,2\nw, 7 , -8.5 \n", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("\ufeffName, Longitude ,LATITUDE\nx,13.4,52.5\ny,bad,1\nz,,2\nw, 7 , -8.5 \n", encoding="utf-8")
     got = files.read_locations(spark, f"file://{tmp_path}/a.csv").collect()
     assert sorted((r.lat, r.lon) for r in got) == [(-8.5, 7.0), (52.5, 13.4)]
     for name, text in (("b", "lat,x\n1,2\n"), ("c", "lat,lon\nq,1\n")):
