@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import staged, table, tidied
 from terraloom.llm.components import components
+from terraloom.llm.shingles import SIMILARITY, WORDS, near_groups
 
 BITS = 4
 HOT = 20_000
@@ -203,11 +204,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, words: int = 4, bits: int = BITS) -> DataFrame:
-    """docs, all columns, with the document of the least doc_id of each group of near duplicates.
+def one_of_each(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with the document of the least doc_id of each group of near duplicates by word shingles.
 
     Rows with one doc_id are one document, of which a row stays; those without an id are one too.
     """
-    found = near_duplicates(docs, words=words, bits=bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").dropDuplicates(["root"])
+    found = near_groups(docs, words=words, similarity=similarity)
+    keep = found.groupBy("root").agg(F.min("doc_id").alias("_id"))
     return docs.join(keep.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])

@@ -244,3 +244,24 @@ def test_pipeline_stages_keep_columns(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
     assert p.run(spark, sf_dir).where("length < 1").count() == 0
+
+
+def test_near_dedup_takes_five_word_shingles_at_four_fifths(spark):
+    from terraloom.llm import shingles
+
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in range(150):  # each with a copy that shares about 0.7 to 0.95 of the shingles
+        words = [f"w{x}" for x in rng.integers(0, 9000, 150)]
+        texts.append(" ".join(words))
+        for at in rng.choice(150, 1 + n % 6, replace=False):
+            words[at] = f"x{n}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 20 < sum(0.8 <= s < 0.95 for s in alike) and any(s < 0.8 for s in alike)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.one_of_each(frame).collect()}
+    assert kept == {2 * n + side for n, s in enumerate(alike) for side in ((0,) if s >= 0.8 else (0, 1))}
+    split = {r.node: r.root for r in shingles.near_groups(frame, hot=1).collect()}
+    assert len(set(split.values())) == len(kept)  # in blocks of a text or two, the same groups
