@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import staged, table, tidied
 from terraloom.llm.components import components
-from terraloom.llm.shingles import SIMILARITY, WORDS, near_groups
+from terraloom.llm.shingles import SIMILARITY, WORDS, near_groups, node_of
 
 BITS = 4
 HOT = 20_000
@@ -205,10 +205,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, all columns, with the document of the least doc_id of each group of near duplicates by word shingles.
+    """docs, all columns, with one row of each group of near duplicates by word shingles: that of the least doc_id.
 
-    Rows with one doc_id are one document, of which a row stays; those without an id are one too.
+    Groups are of texts, so rows of one doc_id or of none are told apart by their texts, and a row whose text is
+    linked to no other stays whatever its id. Rows without an id come after all others.
     """
     found = near_groups(docs, words=words, similarity=similarity)
-    keep = found.groupBy("root").agg(F.min("doc_id").alias("_id"))
-    return docs.join(keep.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    # the first row by (has an id, id, text) names the text that stays for its group
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_kept"))
+    own = docs.withColumn("_node", node_of())
+    own = own.join(keep, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return own.dropDuplicates(["_node"]).drop("_node")

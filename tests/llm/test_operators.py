@@ -265,3 +265,12 @@ def test_near_dedup_takes_five_word_shingles_at_four_fifths(spark):
     assert kept == {2 * n + side for n, s in enumerate(alike) for side in ((0,) if s >= 0.8 else (0, 1))}
     split = {r.node: r.root for r in shingles.near_groups(frame, hot=1).collect()}
     assert len(set(split.values())) == len(kept)  # in blocks of a text or two, the same groups
+
+
+def test_near_dedup_keeps_rows_by_text_not_by_id(spark):
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (1, text[2]), (2, text[2] + " tail"), (2, text[3]), (3, text[4]), (3, text[5]), (None, text[5]), (4, text[4]), (4, text[4])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id or 0, text.index(r.text)) for r in simhash.one_of_each(frame).collect())
+    assert kept == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (3, 5)]
