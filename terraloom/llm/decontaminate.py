@@ -6,7 +6,8 @@ before found, so no row is shuffled or looked up by its id. A hit of the hash is
 collisions count for nothing.
 
 Words are runs of 0-9, a-z (A-Z in lower case) and characters beyond ASCII. Null texts have no words. Repeated
-rows and rows without an id are kept, each with its own result.
+rows and rows without an id are kept, each with its own result. Items without an id are searched for like all
+others and count as hits, but have no name in the list of items.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def _hash(rows: np.ndarray) -> np.ndarray:
 class Windows:
     """The distinct windows of some items, by length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int) -> None:
         self.names = [i for i, _ in items]
         words, offs = words_of(pa.array([t for _, t in items], pa.large_string()))
         coded = words.dictionary_encode()
@@ -94,15 +95,15 @@ class Windows:
                     same = np.flatnonzero(live)
                     same = same[(rows[k[same]] == seen[same]).all(1)]
                     for j in same.tolist():
-                        yield int(text[at + j]), int(some[j] - offs[text[at + j]]), size, [self.names[i] for i in item[bound[k[j]] : bound[k[j] + 1]].tolist()]
+                        yield int(text[at + j]), int(some[j] - offs[text[at + j]]), size, [n for i in item[bound[k[j]] : bound[k[j] + 1]].tolist() if (n := self.names[i]) is not None]
                     k = np.where(live, k + 1, len(hashes))
         self.n_words = np.diff(offs)
 
 
-def _portions(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str | None]]]:
+def _portions(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items with words, in portions of about `limit` bytes, one at a time on the driver."""
     held, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).toLocalIterator():
+    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         held.append((r.item_id, r.text))
         size += len(r.text.encode())
         if size >= limit:
@@ -154,11 +155,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents of docs, all columns, in which no window of the benchmark occurs.
 
-    Clean rows come straight from the scan's result, so that nothing is shuffled while the benchmark is one
-    portion; beyond, rows are held against the ids with hits (null ids never match and stay).
+    Each row goes or stays by its own text: the scan carries all columns, so no id is looked up.
     """
-    found = contamination(docs, benchmark).where(F.size("positions") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_hit"), "left_anti")
+    plain = [f"_c{i}" for i in range(len(docs.columns))]  # names apart from those of the scan's results
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, plain, strict=True) if c not in ("doc_id", "text")], "doc_id", "text")
+    names = {c: c if c in ("doc_id", "text") else n for c, n in zip(docs.columns, plain, strict=True)}
+    found = contamination(rows, benchmark, keep=tuple(names.values())).where(F.size("positions") == 0)
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 OP8_SQL = """

@@ -274,3 +274,16 @@ def test_near_dedup_keeps_rows_by_text_not_by_id(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted((r.doc_id or 0, text.index(r.text)) for r in simhash.one_of_each(frame).collect())
     assert kept == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4), (3, 5)]
+
+
+def test_contamination_without_ids(spark):
+    leak, clean = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    other = "red orange yellow green blue indigo violet black white grey"
+    items = spark.createDataFrame([(None, leak), (7, other)], "item_id long, text string")
+    rows = [(None, f"x {leak} y", 1), (None, clean, 2), (5, f"a {other}", 3), (5, clean, 4), (6, f"{leak} and {other}", 5), (8, None, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, items int").repartition(2)
+    for portion in (1 << 20, 1):
+        got = {r.text: (len(r.positions), r["items"]) for r in decontaminate.contamination(frame.select("doc_id", "text"), items, portion_bytes=portion, keep=("text",)).collect()}
+        assert got == {f"x {leak} y": (10, []), clean: (0, []), f"a {other}": (10, [7]), f"{leak} and {other}": (20, [7]), None: (0, [])}
+    kept = decontaminate.decontaminated(frame, items)
+    assert kept.columns == frame.columns and sorted(r["items"] for r in kept.collect()) == [2, 4, 6]
