@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import let, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
-SAMPLE_DOCS = 20_000  # documents that labelers and classifier are learnt from, about
 SURE = 0.9
 # fixed values: the patterns of the contract; a lookbehind and possessive runs keep long texts linear
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -128,12 +127,9 @@ def classifier(shapes: list[tuple[int, ...]], target: np.ndarray, weight: np.nda
     return [*parts, {0: float(w[0])}]
 
 
-def fit(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[dict[int, float]]:
-    """The classifier, from about `size` documents chosen by a hash of the text; all if there are fewer."""
-    share = min(1.0, size / max(1, docs.count()))
+def fit(docs: DataFrame) -> list[dict[int, float]]:
+    """The classifier, from the votes and shapes of all documents' candidates."""
     some = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    if share < 1:
-        some = some.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < round(share * 1_000_000))
     found = some.select(F.explode(candidates(F.col("text"))).alias("c"))
     seen = found.select(F.array(*votes(F.col("c.value"), F.col("c.before"))).alias("v"), F.array(*shape(F.col("c.value"))).alias("s"))
     rows = seen.groupBy("v", "s").count().collect()  # one row for each combination of buckets at most

@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and words that read like random characters.
 
 Two first-order Markov models of characters are learnt, one from values that the fixed patterns found (random
-strings), one from ordinary identifiers (words of letters in the same sample). A word's log-likelihood ratio per
+strings), one from ordinary identifiers (words of letters in the same documents, which are all). A word's log-likelihood ratio per
 character decides. All of it is DataFrame functions; the models are two tables of at most 65 x 65 transitions.
 
 Null texts are empty; rows with equal or null ids are judged each for itself.
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import let, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
-SAMPLE_DOCS = 10_000  # documents that the models are learnt from, about
 LEAST_RATIO = 1.0  # per character
 LEAN = 5.0  # weight of a character's own frequency in its transitions
 # fixed values: the patterns of the contract
@@ -38,12 +37,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(spans(text, HEX, text.rlike("[0-9a-f]{32}")), "hex", 2))
 
 
-def samples(docs: DataFrame, size: int = SAMPLE_DOCS) -> DataFrame:
-    """(value, random): labelled words of about `size` documents, chosen by a hash of the text; all if there are fewer."""
-    share = min(1.0, size / max(1, docs.count()))
+def samples(docs: DataFrame) -> DataFrame:
+    """(value, random): the labelled words of all documents."""
     some = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    if share < 1:
-        some = some.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < round(share * 1_000_000))
     value = lambda x: F.when(x["kind"] == "assign", F.regexp_extract(x["value"], ASSIGN_VALUE, 1)).otherwise(x["value"])
     found = some.select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("value"), F.lit(True).alias("random"))
     words = some.select(F.explode(F.filter(F.split("text", r"[^A-Za-z_]+"), lambda w: F.length(w) >= 12)).alias("value"), F.lit(False).alias("random"))

@@ -287,3 +287,15 @@ def test_contamination_without_ids(spark):
         assert got == {f"x {leak} y": (10, []), clean: (0, []), f"a {other}": (10, [7]), f"{leak} and {other}": (20, [7]), None: (0, [])}
     kept = decontaminate.decontaminated(frame, items)
     assert kept.columns == frame.columns and sorted(r["items"] for r in kept.collect()) == [2, 4, 6]
+
+
+def test_rare_values_of_a_large_table_are_learnt(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 20000 = 7 THEN concat('api_key = q7R9xKd83jZp0LmW', id) ELSE concat('row ', id, ' of the table') END AS text")
+    assert secret_scan.samples(docs).where("random").count() == 3
+    seen = []
+    kept, pii.reliabilities = pii.reliabilities, lambda counts: seen.append(counts) or kept(counts)
+    try:
+        pii.fit(docs)
+    finally:
+        pii.reliabilities = kept
+    assert sum(seen[0].values()) == 60_000
