@@ -18,6 +18,7 @@ from terraloom.llm.common import let, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
 LEAST_RATIO = 1.0  # per character
+APART = 2.5  # for words of letters in one case
 LEAN = 5.0  # weight of a character's own frequency in its transitions
 # fixed values: the patterns of the contract
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]++"""
@@ -25,8 +26,8 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 ASSIGN_AHEAD = r"(?i)(?:passw|secret|token|api_?key)"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{32,}+"
-# a word of 16 characters or more with a digit or sign, or with a capital after a small letter
-WORD = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z]*+[0-9+/_=-]|[A-Z]*+[a-z]++[A-Z])[A-Za-z0-9+/_=-]{16,}+"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+ONE_CASE = r"^(?:[A-Z]?[a-z]++|[A-Z]++)$"  # scored in small letters, against a bound of their own
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -82,20 +83,54 @@ def ratio(word: Column, model: dict[str, float]) -> Column:
     return score(values)
 
 
-def secrets(docs: DataFrame, model: dict[str, float], *, least: float = LEAST_RATIO) -> DataFrame:
-    """(doc_id, base, more): the fixed patterns' spans, and words beside them that read as random (kind random)."""
+def one_case_bound(labelled_words: DataFrame, model: dict[str, float]) -> float:
+    """The ratio above which a word of letters in one case is random, from ordinary such words of 16 letters or more.
+
+    APART times as far above the median as the lowest hundredth lies below it: the lower half of the ratios has no
+    random words, so those among the ordinary do not move the bound. It may be below 0, as the random model spreads
+    over all characters.
+    """
+    if not model:
+        return LEAST_RATIO
+    words = labelled_words.where(~F.col("random") & (F.length("value") >= 16) & F.col("value").rlike(ONE_CASE))
+    rows = words.select(F.round(ratio(F.lower("value"), model), 2).alias("r")).groupBy("r").count().collect()  # some hundreds at most
+    if not rows:
+        return LEAST_RATIO
+    found = sorted((r.r, r["count"]) for r in rows)
+    total = sum(n for _, n in found)
+
+    def quantile(share: float) -> float:
+        seen = 0
+        for r, n in found:
+            seen += n
+            if seen >= share * total:
+                return r
+        return found[-1][0]
+
+    middle = quantile(0.5)
+    return middle + APART * (middle - quantile(0.01))
+
+
+def secrets(docs: DataFrame, model: dict[str, float], *, least: float = LEAST_RATIO, one_case: float = LEAST_RATIO) -> DataFrame:
+    """(doc_id, base, more): the fixed patterns' spans, and words beside them that read as random (kind random).
+
+    one_case: the least ratio of words of letters in one case.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     if not model:
         return rows.select("doc_id", "base", F.filter("base", lambda _: F.lit(False)).alias("more"))
-    # words of small letters alone, but for a capital at the start, are ordinary: not scored
-    words = F.filter(spans(F.col("text"), WORD, F.col("text").rlike(r"[0-9+/_=-]|[a-z][A-Z]")), lambda x: ratio(x["value"], model) >= least)
+    plain = lambda x: x["value"].rlike(ONE_CASE)
+    reads_random = lambda x: ratio(F.when(plain(x), F.lower(x["value"])).otherwise(x["value"]), model) >= F.when(plain(x), one_case).otherwise(least)
+    words = F.filter(spans(F.col("text"), WORD, F.col("text").rlike("[A-Za-z0-9+/_=-]{16}")), reads_random)
     more = let(F.col("base"), lambda base: apart(labelled(words, "random", 3), base))
     return rows.select("doc_id", "base", more.alias("more"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets(docs, fit(samples(docs)))
+    words = samples(docs)
+    model = fit(words)
+    found = secrets(docs, model, one_case=one_case_bound(words, model))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"))

@@ -299,3 +299,20 @@ def test_rare_values_of_a_large_table_are_learnt(spark):
     finally:
         pii.reliabilities = kept
     assert sum(seen[0].values()) == 60_000
+
+
+def test_random_words_of_one_case_are_found(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda alphabet, n: "".join(rng.choice(np.array(list(alphabet)), n))
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    parts = ["inter", "nation", "al", "iz", "ation", "respons", "ibil", "ities", "character", "istic", "mis", "under", "stand", "ing", "counter", "product", "ive", "ness"]
+    plain = ["".join(rng.choice(parts, 5)) for _ in range(400)]
+    plain = [w for w in plain if len(w) >= 16]
+    texts = [f"{w} {w.upper()} secret = {pick(small + large + '0123456789', 24)}" for w in plain]
+    secret = [pick(small, 28) for _ in range(20)] + [pick(large, 28) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(f"see {w} there" for w in secret)])), "doc_id long, text string")
+    words = secret_scan.samples(docs)
+    model = secret_scan.fit(words)
+    rows = secret_scan.secrets(docs, model, one_case=secret_scan.one_case_bound(words, model)).collect()
+    found = {x.value for r in rows for x in r.more}
+    assert len(found & set(secret)) >= 38 and len(found - set(secret)) <= 0.02 * len(plain)
