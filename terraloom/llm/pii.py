@@ -1,6 +1,6 @@
 """Personal data in texts: fixed patterns, and further spans from weak supervision.
 
-Words with a digit or an at sign are candidates. Labelers vote on each (for, against, or not at all): patterns,
+Words, and parts of words between punctuation, with a digit or an at sign are candidates. Labelers vote on each (for, against, or not at all): patterns,
 gazetteers of mail domains and calling codes, the word before it, and two that know what is harmless. Expectation
 maximisation over the counts of vote combinations estimates how reliable each labeler is, without labels; the
 combinations' posteriors then train a logistic classifier on a candidate's shape, which decides alone and so also
@@ -28,7 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<!\S)[^\s0-9@]{0,64}+[0-9@]\S{0,64}+"
+# candidates end at white space, quotes, brackets, separators and characters of scripts without spaces
+BREAKS = r"\s\"'`,;<>{}\[\]|=&?!\\/:\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{InCJK_Symbols_and_Punctuation}\p{InHalfwidth_and_Fullwidth_Forms}"
+CANDIDATE = rf"(?<![^{BREAKS}])[^{BREAKS}0-9@]*+[0-9@][^{BREAKS}]*+"
 MAIL_WORDS = "mail|example|inbox|post|gmx|outlook|yahoo|proton"
 CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CONTEXT = r"^(?:e-?mail|mail|phone|tel|mobile|cell|call|fax|contact|card|visa|account|iban|address|ip|host|id|ssn|passport|from|to|by)[.:,]?$"
@@ -53,7 +55,7 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Spans of candidate words with the word before each."""
     found = spans(text, CANDIDATE, text.rlike("[0-9@]"))
-    before = lambda x: F.lower(F.regexp_extract(F.substring(text, (F.greatest(x["start"] - 24, F.lit(0)) + 1).cast("int"), F.least(x["start"], F.lit(24)).cast("int")), r"(\S+)\s*$", 1))
+    before = lambda x: F.lower(F.regexp_extract(F.substring(text, (F.greatest(x["start"] - 24, F.lit(0)) + 1).cast("int"), F.least(x["start"], F.lit(24)).cast("int")), rf"([^{BREAKS}]+)[{BREAKS}]*$", 1))
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), before(x).alias("before")))
 
 

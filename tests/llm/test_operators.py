@@ -316,3 +316,13 @@ def test_random_words_of_one_case_are_found(spark):
     rows = secret_scan.secrets(docs, model, one_case=secret_scan.one_case_bound(words, model)).collect()
     found = {x.value for r in rows for x in r.more}
     assert len(found & set(secret)) >= 38 and len(found - set(secret)) <= 0.02 * len(plain)
+
+
+def test_candidates_of_long_words(spark):
+    from pyspark.sql import functions as F
+
+    text = '{"name":"' + "x" * 100 + '","phone":"0301234567","mail":"a.b@mail.example.com"},' + "y" * 70 + ",2020-01-02;" + "文字" * 50 + "13800138000请 z" + "1" * 200
+    row = spark.createDataFrame([(text,)], "text string").select(pii.candidates(F.col("text")).alias("c")).first()
+    want = ["0301234567", "a.b@mail.example.com", "2020-01-02", "13800138000", "z" + "1" * 200]
+    assert [x.value for x in row.c] == want and [text[x.start : x.stop] for x in row.c] == want
+    assert [x.before for x in row.c][:2] == ["phone", "mail"]
