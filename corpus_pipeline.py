@@ -21,7 +21,7 @@ from terraloom.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the span tagger, trained on all labels, scores below its threshold."""
+    """Documents that the span tagger, trained on a sample of the labelled texts of up to 8,000 bytes, scores below its threshold."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
