@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only a session that names no such folder (tests, one machine) gets one of its own.
+    Only a session on one machine (master local, as in tests) may go without that setting and gets a folder of its
+    own; anywhere else that is an error, as executors do not see each other's local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='terraloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -32,12 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df below the shared folder and read it back, which cuts its lineage."""
+    """Write df below the shared folder and read it back, which cuts its lineage.
+
+    The folder stays as long as results may be read from it; dropping it is up to whoever owns spark.checkpoint.dir.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, *, most: int = 10_000, hot: int = 100_000, how: str = "inner") -> DataFrame:
+    """big.join(small, keys, how) where one key may hold any share of big's rows; small has a row for each key at most.
+
+    counts: keys and n, the rows of big with that key. The `most` largest keys of more than `hot` rows, a table of
+    bounded size, are dealt to a part for every `hot` rows, and small's row of such a key is repeated for each part.
+    Any other key has fewer rows than hot, or less than one in `most` of all rows.
+    """
+    large = counts.where(F.col("n") > hot).orderBy(F.desc("n"), *keys).limit(most).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("_parts"))
+    large = F.broadcast(large)
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))).cast("int")
+    left = big.join(large, keys, "left").withColumn("_part", part).drop("_parts")
+    right = small.join(large, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for each row, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,9 +1,10 @@
 """Whole-text encoding with a public byte-level BPE, one Arrow slice at a time.
 
-Every id comes from the `tokenizers` library. A slice is cut, in Arrow, before each single space or newline
-that stands between other characters; those places are always bounds of the byte-level pre-tokenizer, so the
-parts can be encoded apart. Equal parts of a slice are encoded once, and a worker keeps what it has encoded.
-A text in which white space meets a space or newline is encoded whole.
+Every id comes from the `tokenizers` library. A slice is cut, by its bytes, where the byte-level pre-tokenizer
+always has a bound: before a run of blanks (space, tab, newline, carriage return) that follows a character which is
+no white space, and before the last blank of a run that such a character follows. The parts can be encoded apart;
+equal parts of a slice are encoded once, and a worker keeps the short ones that it has encoded. A run that meets a
+character some definition calls white space is not cut behind its start.
 """
 
 from __future__ import annotations
@@ -16,8 +17,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_WHOLE = rf"^[ \n]|[ \n]$|[ \n]{_SPACE}|{_SPACE}[ \n]|\x1f"
+SHORT = 48  # bytes of a part that is kept
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray, heads: bytes = b"") -> np.ndarray:
+    """The places, ascending, at which UTF-8 texts (data[offsets[i]:offsets[i + 1]]) fall into parts; with all offsets.
+
+    heads: the bytes that added tokens begin with. Text ends before such a token, so a run before it is one part.
+    """
+    n = len(data)
+    blank = (data == 32) | (data == 10) | (data == 9) | (data == 13)
+    # characters that may count as white space: controls, U+0085, U+00A0 and some of U+1680, U+180E, U+2000-205F, U+3000
+    odd = (data < 32) & ~blank
+    wide = np.flatnonzero(data >= 0xC2)
+    wide = wide[wide + 1 < n]
+    lead, second = data[wide], data[wide + 1]
+    two = wide[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+    three = wide[((lead == 0xE1) & ((second == 0x9A) | (second == 0xA0))) | ((lead == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((lead == 0xE3) & (second == 0x80))]
+    for places, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            odd[np.minimum(places + k, n - 1)] = True
+    plain = ~blank & ~odd
+    first = np.zeros(n + 1, bool)  # whether a text starts here
+    first[offsets] = True
+    begins = first[:n]
+    start = blank.copy()  # a run starts: the byte before is plain
+    start[1:] &= plain[:-1]
+    start[:1] = False
+    last = blank.copy()  # a run's last blank, before a plain byte of the same text
+    last[:-1] &= plain[1:] & ~begins[1:]
+    for head in heads:
+        last[:-1] &= data[1:] != head
+    last[-1:] = False
+    after = np.zeros(n, bool)  # behind a run whose last blank is no space
+    after[1:] = last[:-1] & (data[:-1] != 32)
+    return np.flatnonzero(np.append(start | last | after, False) | first)
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +78,7 @@ class SliceEncoder:
         self.tok, self.keep = Tokenizer.from_file(path), keep
         self.model = self.tok.model
         self.letters = _byte_letters()
+        self.heads = bytes({t.content.encode()[0] for t in self.tok.get_added_tokens_decoder().values()})
         self.clear()
 
     def clear(self) -> None:
@@ -78,30 +113,38 @@ class SliceEncoder:
         if len(self.index) > self.keep:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
-        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\x1f "), "\n", "\x1f\n")
-        lists = pc.split_pattern(cut, "\x1f")
-        parts = lists.flatten().dictionary_encode()
-        bounds = np.asarray(lists.offsets, np.int64)
-        bounds = bounds - bounds[0]
+        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offs[0] == offs[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        at = cuts(data, offs, self.heads)
+        parts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)]).dictionary_encode()
+        bounds = np.searchsorted(at, offs)
         index = self.index
         words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = [index.get(w, -1) for w in words]
+        long = []
         for i, k in enumerate(known):
             if k < 0:
                 word = words[i]
+                if len(word) > SHORT:
+                    long.append(i)
+                    continue
                 k = index.get(word, -1)
                 if k < 0:
                     k = index[word] = self._add(self._ids(word))
                 known[i] = k
-        used = np.asarray(known, np.int64)[parts.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        for i in np.flatnonzero(whole):
-            used[bounds[i]] = self._add(self.tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids)
-        start, size, flat = np.asarray(self.start), np.asarray(self.size), np.asarray(self.flat)  # views, gone when this returns
+        kept = len(self.start), len(self.flat)
+        for i in long:  # long parts are held for this slice alone
+            known[i] = self._add(self.tok.encode(words[i], add_special_tokens=False).ids)
+        used = np.asarray(known, np.int64)[parts.indices.to_numpy(zero_copy_only=False)]
+        start, size, flat = np.array(self.start), np.array(self.size), np.asarray(self.flat)
         n = size[used]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(start[used] - ends[:-1], n) + np.arange(ends[-1])]
+        del flat  # a view, which would keep the array from shrinking
+        del self.start[kept[0] :], self.size[kept[0] :], self.flat[kept[1] :]
         return ids, ends[bounds]
 
 
