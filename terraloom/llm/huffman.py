@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import TOKENIZER_FILE, shared_dir, staged, table, tidied
-from terraloom.llm.tokens import binary_column, rows_of, tokenizer_path
+from terraloom.llm.tokens import binary_column, encoder, rows_of, tokenizer_path
 
 LONGEST = 20
 EVERY = 512
@@ -134,6 +134,8 @@ def _encoded(path: str, end_id: int, itemsize: int):
         part, row = TaskContext.get().partitionId(), 0
         for docs, ids, offs in rows_of(batches, path, end_id):
             n = docs.num_rows
+            if len(ids) and int(ids.max()) >> 8 * itemsize:
+                raise ValueError(f"id {int(ids.max())} needs more than {itemsize} bytes")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), docs.column(0), binary_column(ids.astype(f"<u{itemsize}"), offs)],
                 ["part", "row", "doc_id", "ids"],
@@ -183,14 +185,18 @@ def _blocks(bits: np.ndarray, itemsize: int):
     return tidied(run)
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, *, itemsize: int = 2) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, *, itemsize: int | None = None) -> None:
     """Encode the texts of docs (doc_id, text) and write them to folder, in ascending doc_id order.
 
-    Null texts are empty, null ids come first, rows with one id stay beside each other in any order; a document
-    that is empty has the end id alone. itemsize: bytes of an id (2 up to 65,536 ids, else 4).
+    Null texts are empty, null ids come first, rows with one id stay beside each other in any order and may fall into
+    several parts, so one id can hold any share of the rows; a document that is empty has the end id alone.
+    itemsize: bytes of an id between the passes, by default 2 for vocabularies of up to 65,536 ids, else 4.
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    if itemsize is None:
+        itemsize = 2 if max(encoder(path).tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    ordered = rows.repartitionByRange("doc_id", "h", "at").select("doc_id", "text").sortWithinPartitions("doc_id")
     ids = staged(ordered.mapInArrow(_encoded(path, end_id, itemsize), "part int, row long, doc_id long, ids binary"))
     counts = ids.select("ids").mapInArrow(_counted(itemsize), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     total = np.zeros(max([end_id, *(r.id for r in counts)]) + 1, np.int64)
