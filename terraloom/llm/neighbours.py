@@ -2,36 +2,48 @@
 
 Equal vectors are one row with their least ids (more than a result can name), so a vector that fills a third of
 the table is one entry. Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is
-assigned and coded. Queries meet the lists they probe in a shuffle by list; long lists and lists with many
-queries are dealt to blocks, each of which scans its codes with distance tables made for each query, keeps a
-short list and measures that exactly on the original vectors.
+assigned and coded. How many lists a query probes is measured: held-out vectors of the sample search it exactly,
+and as many of the nearest lists are probed as hold TARGET of their true neighbours. Vectors with clear clusters
+need few lists; such without any (the synthetic table is mostly so) need a large share.
+
+Lists are dealt to groups of like size, and a query goes once to each group that holds lists it probes. Large groups,
+and groups with many queries, are dealt to blocks. A block scans codes with one table of products for each query: the
+distance of query q to the code r of list c is |q - c|^2 + (|r|^2 + 2cr) - 2qr, whose middle part is stored beside the
+code. Each block keeps a short list of the least approximate distances, in proportion to its share of what the query
+probes, and measures it exactly on the original vectors.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Rows without an id take none either; rows that repeat an id are candidates with that id.
+Rows without an id take none either; rows that repeat an id are candidates with that id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import staged, table
+from terraloom.llm.common import spread_join, staged, table, tidied
 
-SAMPLE = 20_000
+SAMPLE = 20_000  # vectors that are learnt from, at least; 32 for each list beyond that
+LISTS = 4096  # at most
 PARTS = 16
 CODES = 256
-SHORT = 64  # measured exactly, of a query and a block
-PROBED = 0.65  # share of the lists; vectors without clusters need as many for a recall of 0.9
-BLOCK = 20_000  # vectors of a list in one task
-QUERIES = 2_000  # queries in one task
+TARGET = 0.95  # share of the true neighbours in the probed lists, by which their number is chosen
+HELD = 200  # vectors of the sample that measure it
+SHORT = 400  # measured exactly, of a query, about
+BLOCK = 50_000  # vectors of a group in one task
+QUERIES = 20_000  # queries in one task
+GROUPS = 16  # at least, where there are as many lists
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
     v = F.col("v")
-    fine = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
+    fine = vectors.select("vec_id", F.col("embedding").alias("v")).where(
         F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     most = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -61,93 +73,194 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Quantiser:
     """Coarse centroids, and codebooks for equal parts of the residuals."""
 
-    def __init__(self, x: np.ndarray, lists: int) -> None:
-        self.coarse = kmeans(x, lists)
-        rest = x - self.coarse[nearest(x, self.coarse)]
+    def __init__(self, x: np.ndarray, lists: int, k: int = 10, target: float = TARGET) -> None:
+        held = min(HELD, len(x) // 5)
+        own = x[held:]
+        self.coarse = kmeans(own, lists)
+        rest = own - self.coarse[nearest(own, self.coarse)]
         self.bounds = np.array_split(np.arange(x.shape[1]), min(PARTS, x.shape[1]))
         self.books = [kmeans(rest[:, b], CODES, 8) for b in self.bounds]
+        self.n_probes = self._measured(x[:held], own, k, target) if held * 5 >= HELD else len(self.coarse)
+
+    def _measured(self, asked: np.ndarray, own: np.ndarray, k: int, target: float) -> int:
+        """The number of nearest lists that hold `target` of the k nearest of own to each vector asked."""
+        at = nearest(own, self.coarse)
+        d = (own**2).sum(1) - 2 * asked @ own.T
+        near = np.argpartition(d, min(k, len(own) - 1), axis=1)[:, :k]
+        order = self.probes(asked, len(self.coarse))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(asked), 0), 1)
+        ranks = np.sort(np.take_along_axis(place, at[near], 1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, and |r|^2 + 2cr of each vector's coded residual r and centroid c."""
         at = nearest(x, self.coarse)
-        rest = x - self.coarse[at]
-        return at, np.stack([nearest(rest[:, b], book) for b, book in zip(self.bounds, self.books, strict=True)], 1).astype(np.uint8)
+        c = self.coarse[at]
+        codes = np.stack([nearest((x - c)[:, b], book) for b, book in zip(self.bounds, self.books, strict=True)], 1).astype(np.uint8)
+        r = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+        return at, codes, (r * (r + 2 * c)).sum(1)
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         d = (self.coarse**2).sum(1) - 2 * q @ self.coarse.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared, approximate: of each query to each code of list `at`, from one table for each query and part."""
-        rest, out = q - self.coarse[at], np.zeros((len(q), len(codes)))
+    def products(self, q: np.ndarray) -> np.ndarray:
+        """Tables of each query's products with each code: queries, parts, codes."""
+        out = np.zeros((len(q), len(self.books), CODES))
         for j, (b, book) in enumerate(zip(self.bounds, self.books, strict=True)):
-            table_ = ((rest[:, None, b] - book[None]) ** 2).sum(2)
-            out += table_[:, codes[:, j]]
+            out[:, j, : len(book)] = q[:, b] @ book.T
+        return out
+
+    def distances(self, q: np.ndarray, tables: np.ndarray, at: int, codes: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Squared, approximate: of each query to each code of list `at`."""
+        out = ((q - self.coarse[at]) ** 2).sum(1)[:, None] + inner[None]
+        for j in range(codes.shape[1]):
+            out -= 2 * tables[:, j][:, codes[:, j]]
         return out
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: float = PROBED, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query_id of queries (an id of vectors) its k nearest found, itself left out."""
+def searched(quantiser: Quantiser, lists: np.ndarray, codes: np.ndarray, inner: np.ndarray, v: np.ndarray, reps: np.ndarray, q: np.ndarray, probed: list[np.ndarray], total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, rep, distance) of the k nearest in one block: vectors in order of lists, queries with the lists they probe here."""
+    first = np.searchsorted(lists, np.arange(len(quantiser.coarse) + 1))
+    asks = np.zeros((len(q), len(quantiser.coarse)), bool)
+    for i, own in enumerate(probed):
+        asks[i, own] = True
+    near: list[list[np.ndarray]] = [[] for _ in q]
+    rows: list[list[np.ndarray]] = [[] for _ in q]
+    tables = quantiser.products(q)
+    held = asks @ np.diff(first)
+    keep = np.maximum(16, np.ceil(2 * SHORT * held / np.maximum(total, 1)).astype(np.int64))
+    for at in np.flatnonzero((np.diff(first) > 0) & asks.any(0)).tolist():
+        a, b = int(first[at]), int(first[at + 1])
+        some = np.flatnonzero(asks[:, at])
+        d = quantiser.distances(q[some], tables[some], at, codes[a:b], inner[a:b])
+        for i, own in zip(some.tolist(), d, strict=True):
+            n = int(keep[i])
+            best = np.argpartition(own, n - 1)[:n] if len(own) > n else np.arange(len(own))
+            near[i].append(own[best])
+            rows[i].append(best + a)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, (found, own) in enumerate(zip(near, rows, strict=True)):
+        if found:
+            d, own = np.concatenate(found), np.concatenate(own)
+            n = int(keep[i])
+            own = own[np.argpartition(d, n - 1)[:n]] if len(d) > n else own
+            exact = np.sqrt(((v[own] - q[i]) ** 2).sum(1))
+            best = np.lexsort((reps[own], exact))[:k]
+            out.append((np.full(len(best), i), reps[own][best], exact[best]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _groups(sizes: dict[int, int], n: int) -> dict[int, int]:
+    """A group for each list, the largest lists first, each to the group with the least vectors."""
+    import heapq
+
+    loads = [(0, g) for g in range(max(1, min(len(sizes), max(GROUPS, -(-n // BLOCK)))))]
+    out = {}
+    for at, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        load, g = heapq.heappop(loads)
+        out[at] = g
+        heapq.heappush(loads, (load + size, g))
+    return out
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: int | None = None, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query_id of queries (an id of vectors) its k nearest found, itself left out.
+
+    probed: lists that a query probes, if not as many as are measured to be needed; lists: how many there are.
+    """
     spark = vectors.sparkSession
     fine = usable(vectors)
     # the k + 1 least ids of each distinct vector are all that results can name
     ranked = fine.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = staged(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
     n = distinct.count()
-    wanted = fine.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    x = np.array([r.v for r in distinct.orderBy(F.xxhash64("v"), "rep").select("v").limit(sample).collect()])
-    lists = max(1, min(4096, int(n**0.5)))
-    quantiser = spark.sparkContext.broadcast(Quantiser(x, lists))  # at most 4096 centroids and 256 codes a part
-    probes = min(lists, max(16, int(np.ceil(lists * probed))))
+    lists = min(n, lists or max(1, min(LISTS, int(n**0.5))))
+    share = min(1.0, max(sample, 32 * lists) / n)
+    some = distinct if share == 1.0 else distinct.where(F.xxhash64("v") < int((2 * share - 1) * (1 << 63)))
+    drawn = some.select("v", F.xxhash64("v", F.lit(7)).alias("h")).orderBy("h").toArrow()  # about the sample's size, in an order that is the same every time
+    x = _matrix(drawn.column("v").combine_chunks())
+    model = Quantiser(x, min(lists, len(x)), k)
+    lists = len(model.coarse)
+    n_probes = min(lists, probed or max(8, model.n_probes))
+    quantiser = spark.sparkContext.broadcast(model)  # at most LISTS centroids and CODES codes a part
+    kind = distinct.schema["v"].dataType.simpleString()
 
-    def coded(batches):
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                at, codes = quantiser.value.code(np.stack(b["v"].to_numpy()))
-                yield pd.DataFrame({"list": at, "code": [c.tobytes() for c in codes], "v": b["v"], "rep": b["rep"]})
+            if b.num_rows:
+                at, codes, inner = quantiser.value.code(_matrix(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(inner), b.column(0), b.column(1)], ["list", "code", "inner", "v", "rep"])
 
-    def probing(batches):
+    index = staged(distinct.select("v", "rep").mapInArrow(tidied(coded), f"list int, code binary, inner double, v {kind}, rep long"))
+    sizes = {r.list: r["count"] for r in index.groupBy("list").count().collect()}  # LISTS rows at most
+    group = _groups(sizes, n)
+    wanted = fine.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    named = spread_join(wanted, distinct.select("v", F.col("rep").alias("q")), ["v"], wanted.groupBy("v").agg(F.count("*").alias("n")))
+    asked = staged(named.select("vec_id", "q", "v"))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of = np.array([group.get(i, -1) for i in range(lists)])
+        size_of = np.array([sizes.get(i, 0) for i in range(lists)])
         for b in batches:
-            if len(b):
-                at = quantiser.value.probes(np.stack(b["v"].to_numpy()), probes)
-                rows = np.repeat(np.arange(len(b)), at.shape[1])
-                yield pd.DataFrame({"list": at.ravel(), "qv": b["v"].to_numpy()[rows], "q": b["q"].to_numpy()[rows]})
-
-    index = staged(distinct.select("v", "rep").mapInPandas(coded, "list long, code binary, v array<double>, rep long"))
-    asked = wanted.join(distinct.select("v", F.col("rep").alias("q"), "ids"), "v").select("vec_id", "q", "v", "ids")
-    asking = asked.groupBy("q").agg(F.first("v").alias("v")).mapInPandas(probing, "list long, qv array<double>, q long")
-    asking = staged(asking)
-    # blocks of long lists and of lists with many queries; there are at most 4096 lists
-    size = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_i")).join(asking.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("n_q")), "list")
-    left = index.join(size, "list").select("list", F.pmod(F.xxhash64("rep"), "n_i").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "code", "v", "rep")
-    right = asking.join(size, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod(F.xxhash64("q"), "n_q").cast("int").alias("j"), "qv", "q")
-
-    def meet(key, rows: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "rep": [], "d": []}
-        if len(rows) and len(ask):
+            if not b.num_rows:
+                continue
+            rows, groups, own, totals = [], [], [], []
+            for i, at in enumerate(quantiser.value.probes(_matrix(b.column(1)), n_probes)):
+                at = at[group_of[at] >= 0]
+                total = int(size_of[at].sum())
+                for g in np.unique(group_of[at]).tolist():
+                    rows.append(i)
+                    groups.append(g)
+                    own.append(at[group_of[at] == g])
+                    totals.append(total)
+            part = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(groups, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(totals, pa.int64())], ["q", "qv", "g", "probed", "total"])
+
+    ask = staged(asked.groupBy("q").agg(F.first("v").alias("v")).mapInArrow(tidied(asking), f"q long, qv {kind}, g int, probed array<int>, total long"))
+    asks = {r.g: r["count"] for r in ask.groupBy("g").count().collect()}  # one row for each group of lists
+    load: dict[int, int] = {}
+    for at, g in group.items():
+        load[g] = load.get(g, 0) + sizes[at]
+    blocks = spark.createDataFrame([(at, g, -(-load[g] // BLOCK), -(-asks.get(g, 0) // QUERIES)) for at, g in group.items()], "list int, g int, n_i int, n_q int")
+    per_group = blocks.select("g", "n_i", "n_q").distinct()
+    left = index.join(F.broadcast(blocks), "list").where("n_q > 0")
+    left = left.select("g", F.pmod(F.xxhash64("rep"), "n_i").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "list", "code", "inner", "v", "rep")
+    right = ask.join(F.broadcast(per_group), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod(F.xxhash64("q"), "n_q").cast("int").alias("j"), "q", "qv", "probed", "total")
+
+    def meet(key, rows: pd.DataFrame, ask_: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        if len(rows) and len(ask_):
+            rows = rows.sort_values(["list", "rep"])
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            v, reps = np.stack(rows["v"].to_numpy()), rows["rep"].to_numpy()
-            for at in range(0, len(ask), 128):
-                part = ask.iloc[at : at + 128]
-                q = np.stack(part["qv"].to_numpy())
-                near = quantiser.value.distances(q, int(key[0]), codes)
-                short = np.argpartition(near, SHORT - 1, axis=1)[:, :SHORT] if len(rows) > SHORT else np.tile(np.arange(len(rows)), (len(q), 1))
-                for name, point, own in zip(part["q"].to_numpy(), q, short, strict=True):
-                    d = np.sqrt(((v[own] - point) ** 2).sum(1))
-                    best = np.lexsort((reps[own], d))[: k + 1]
-                    out["q"].append(np.full(len(best), name))
-                    out["rep"].append(reps[own][best])
-                    out["d"].append(d[best])
-        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()}).astype({"q": "int64", "rep": "int64", "d": "float64"})
-
-    met = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "q long, rep long, d double")
+            v, reps = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["rep"].to_numpy()
+            for at in range(0, len(ask_), 64):
+                part = ask_.iloc[at : at + 64]
+                q = np.stack(part["qv"].to_numpy()).astype(np.float64)
+                who, near, d = searched(quantiser.value, rows["list"].to_numpy(), codes, rows["inner"].to_numpy(), v, reps, q, list(part["probed"]), part["total"].to_numpy(), k + 1)
+                out.append(pd.DataFrame({"q": part["q"].to_numpy()[who], "rep": near, "d": d}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "d": []}).astype({"q": "int64", "rep": "int64", "d": "float64"})
+
+    met = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(meet, "q long, rep long, d double")
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "rep"))).where(F.col("r") <= k + 1).select("q", F.col("rep").alias("near"), "d")
-    named = best.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select("q", F.explode("ids").alias("vec_id"), "d")
-    per_query = asked.select(F.col("vec_id").alias("query_id"), "q").distinct().join(named, "q").where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return per_query.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
+    found = best.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select("q", F.explode("ids").alias("vec_id"), "d")
+    # at most k + 2 rows of each distinct query vector, dealt to all who ask for it
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r") <= k + 1)
+    first = first.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "vec_id"))).alias("near"))
+    who = asked.select(F.col("vec_id").alias("query_id"), "q").distinct()
+    per_query = spread_join(who, first, ["q"], who.groupBy("q").agg(F.count("*").alias("n")))
+    mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return per_query.select("query_id", F.posexplode(mine).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", F.col("x.d").alias("score"))
 
 
 def op1_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
