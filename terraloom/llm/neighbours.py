@@ -187,7 +187,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: i
         return empty
     lists = min(n, lists or max(1, min(LISTS, int(n**0.5))))
     share = min(1.0, max(sample, 32 * lists) / n)
-    some = distinct if share == 1.0 else distinct.where(F.xxhash64("v") < int((2 * share - 1) * (1 << 63)))
+    some = distinct if share == 1.0 else distinct.where(F.xxhash64("v") < min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
     drawn = some.select("v", F.xxhash64("v", F.lit(7)).alias("h")).orderBy("h").toArrow()  # about the sample's size, in an order that is the same every time
     x = _matrix(drawn.column("v").combine_chunks())
     model = Quantiser(x, min(lists, len(x)), k)

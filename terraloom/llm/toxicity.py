@@ -3,12 +3,15 @@
 Tokens are parts between white space, lower-cased, without punctuation at their ends. Labels exist for whole
 documents, so token labels are derived: a word (or a word's first four or five letters) is a marker if it is far
 more frequent, by documents, under label 1 than under label 0; the tokens with a marker in documents of label 1
-are toxic. The field has two states; a token's potential is the sum of a weight for its word and weights for its
-first letters, which also tell on words never seen. It is trained by gradient ascent on the log-likelihood, the
-expectations by forward-backward over stretches of 64 tokens, which are the chains everywhere. A document's score
-is a logistic function of its largest marginal and of its expected number of toxic tokens.
-
-Null and empty texts have no tokens: their score is that of a document without a toxic token.
+are toxic. The field has two states; a token's potential is the sum of weights for its word, its first letters,
+which also tell on words never seen, and the words before and behind it. It is trained by gradient ascent on the
+log-likelihood, the expectations by forward-backward. A chain is a whole document: blocks of tokens are run through
+side by side as products of 2x2 matrices, messages go from block to block, and a second run inside the blocks starts
+from them. A document's score is a logistic function of its largest marginal and of its expected number of toxic
+tokens.
+
+Null and empty texts have no tokens: their score is that of a document without a toxic token. Without labels of both
+kinds nothing can be learnt, and all documents get one low score.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import table, text_slices, tidied
 
-CHAIN = 64
-SAMPLE = 1_000  # toxic documents that are learnt from, about
-CLEAN = 4  # other documents to each of them
-SAMPLE_BYTES = 8_000  # of a text that is learnt from
+BLOCK = 64  # tokens that one step of the matrix products takes in
+SAMPLE_BYTES = 2 << 20  # text of toxic documents that is learnt from, about
+CLEAN = 4  # as much text of other documents
+STRETCH = 1 << 16  # characters of one text that is learnt from; of longer ones a stretch chosen by a hash
 THRESHOLD = 0.7
 _ENDS = ".,;:!?\"'()[]{}<>«»“”„…-*_"
 SCORES = "score double, toxic_tokens long, spans string"
@@ -54,50 +57,85 @@ def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Chains:
-    """The places of tokens in stretches of CHAIN tokens: rows are steps, columns are stretches."""
+    """The places of tokens in blocks: rows are steps, columns are blocks, those of a document side by side."""
 
     def __init__(self, offsets: np.ndarray) -> None:
         n = np.diff(offsets)
-        chains = -(-n // CHAIN)
-        first = np.concatenate([[0], np.cumsum(chains)])
+        self.blocks = -(-n // BLOCK)
+        first = np.concatenate([[0], np.cumsum(self.blocks)])
         at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
-        self.step, self.column = at % CHAIN, np.repeat(first[:-1], n) + at // CHAIN
+        self.step, self.column = at % BLOCK, np.repeat(first[:-1], n) + at // BLOCK
         self.width = int(first[-1])
-        self.live = np.zeros((CHAIN, self.width), bool)
+        self.live = np.zeros((BLOCK, self.width), bool)
         self.live[self.step, self.column] = True
-
-    def marginals(self, potential: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """P(toxic) of each token, expected state changes (2x2), log of the partition functions' product."""
-        e = np.zeros((CHAIN, self.width))
+        own = np.flatnonzero(self.blocks)
+        self.own = own[np.argsort(-self.blocks[own], kind="stable")]  # documents, those with most blocks first
+        self.head = first[self.own]
+        self.heads = np.zeros(self.width, bool)
+        self.heads[self.head] = True
+        self.longest = int(self.blocks.max()) if len(n) else 0
+
+    def _lap(self, r: int) -> np.ndarray:
+        """The r-th block of each document that has one."""
+        return self.head[: int(np.searchsorted(-self.blocks[self.own], -r, "left"))] + r
+
+    def marginals(self, potential: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of each token, and expected state changes (2x2)."""
+        e = np.zeros((BLOCK, self.width))
         e[self.step, self.column] = np.clip(potential, -30, 30)
         e, m = np.exp(e), np.exp(moves)
-        a = np.zeros((CHAIN, 2, self.width))
-        log = np.zeros(self.width)
-        before = None
-        for t in range(CHAIN):
-            on = self.live[t]
-            if before is None:
-                now = np.stack([np.ones(self.width), e[0]])
+        # a block's matrix: from the state before its first token to that of its last
+        f = np.zeros((2, 2, self.width))
+        f[0, 0] = f[1, 1] = 1
+        for t in range(BLOCK):
+            now = np.stack([f[:, 0] * m[0, 0] + f[:, 1] * m[1, 0], (f[:, 0] * m[0, 1] + f[:, 1] * m[1, 1]) * e[t]], 1)
+            now /= now.sum((0, 1))
+            f = np.where(self.live[t], now, f)
+        # messages into blocks; the first token of a document has no move before it
+        into = np.zeros((2, self.width))
+        for r in range(1, self.longest):
+            at = self._lap(r)
+            before = at - 1
+            if r == 1:
+                # the first block anew, without the move: its own pass from the first token
+                a = np.stack([np.ones(len(before)), e[0, before]])
+                for t in range(1, BLOCK):
+                    a = np.stack([a[0] * m[0, 0] + a[1] * m[1, 0], (a[0] * m[0, 1] + a[1] * m[1, 1]) * e[t, before]])
+                    a /= a.sum(0)
             else:
-                now = np.stack([before[0] * m[0, 0] + before[1] * m[1, 0], (before[0] * m[0, 1] + before[1] * m[1, 1]) * e[t]])
+                a = into[0, before] * f[0][:, before] + into[1, before] * f[1][:, before]
+            into[:, at] = a / a.sum(0)
+        out = np.full((2, self.width), 0.5)  # messages back to blocks' last tokens
+        for r in range(self.longest - 1, 0, -1):
+            at = self._lap(r)
+            b = f[:, 0, at] * out[0, at] + f[:, 1, at] * out[1, at]
+            out[:, at - 1] = b / b.sum(0)
+        a = np.zeros((BLOCK, 2, self.width))
+        before = None
+        for t in range(BLOCK):
+            past = into if t == 0 else before
+            now = np.stack([past[0] * m[0, 0] + past[1] * m[1, 0], (past[0] * m[0, 1] + past[1] * m[1, 1]) * e[t]])
+            if t == 0:
+                now = np.where(self.heads, np.stack([np.ones(self.width), e[0]]), now)
             total = now.sum(0)
-            log += np.where(on, np.log(total), 0)
-            before = a[t] = np.where(on, now / total, before if before is not None else now)
-        b = np.full((2, self.width), 0.5)
-        p, changes = np.zeros((CHAIN, self.width)), np.zeros((2, 2))
-        for t in range(CHAIN - 1, -1, -1):
+            before = a[t] = np.where(self.live[t], now / np.where(total > 0, total, 1), now if before is None else before)
+        b = out
+        p, changes = np.zeros((BLOCK, self.width)), np.zeros((2, 2))
+        for t in range(BLOCK - 1, -1, -1):
             on = self.live[t]
             both = a[t] * b
             both /= both.sum(0)
             p[t] = both[1]
+            past = into if t == 0 else a[t - 1]
+            moved = on & ~self.heads if t == 0 else on
+            to = np.stack([b[0], b[1] * e[t]])
+            pair = past[:, None] * m[:, :, None] * to[None]
+            total = pair.sum((0, 1))
+            changes += (pair / np.where(total > 0, total, 1) * moved).sum(2)
             if t:
-                to = np.stack([b[0], b[1] * e[t]])
-                pair = a[t - 1][:, None] * m[:, :, None] * to[None]
-                pair /= pair.sum((0, 1))
-                changes += (pair * on).sum(2)
                 back = np.stack([m[0, 0] * to[0] + m[0, 1] * to[1], m[1, 0] * to[0] + m[1, 1] * to[1]])
                 b = np.where(on, back / back.sum(0), b)
-        return p[self.step, self.column], changes, float(log.sum())
+        return p[self.step, self.column], changes
 
 
 def markers(doc: np.ndarray, feature: np.ndarray, n: int, label: np.ndarray, least: float = 3.0) -> np.ndarray:
@@ -109,6 +147,16 @@ def markers(doc: np.ndarray, feature: np.ndarray, n: int, label: np.ndarray, lea
     return odds > least
 
 
+def neighbours_of(types: np.ndarray, offsets: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The types of the tokens before and behind each token; none at a document's ends."""
+    before, behind = np.full(len(types), none), np.full(len(types), none)
+    before[1:], behind[:-1] = types[:-1], types[1:]
+    full = np.flatnonzero(np.diff(offsets))
+    before[offsets[full]] = none
+    behind[offsets[full + 1] - 1] = none
+    return before, behind
+
+
 def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
     """From (text, label of the document), on the driver; rows is a bounded sample."""
     if not any(y for _, y in rows) or all(y for _, y in rows):
@@ -127,6 +175,12 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
         marked = markers(doc, own[types], len(part.dictionary), label) & long
         toxic_type |= marked[own]
         spaces.append((prefix, part.dictionary, own))
+    y = (toxic_type[types] & (label[doc] == 1)).astype(float)
+    before, behind = neighbours_of(types, offs, len(words))
+    beside = np.zeros(len(words) + 1, bool)  # words that stand next to toxic tokens, more than once
+    often = np.bincount(before[y == 1], minlength=len(words) + 1) + np.bincount(behind[y == 1], minlength=len(words) + 1)
+    beside[:-1] = often[:-1] > 1
+    # a matrix of weights for each place: the word itself by its features, the words beside it by their own
     pairs, names = [], []
     for prefix, dictionary, own in spaces:  # the features of words that hold a marker
         used = np.unique(own[toxic_type])
@@ -136,9 +190,16 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
         held = np.flatnonzero(at[own] >= 0)
         pairs.append(np.stack([held, at[own[held]]], 1))
     pairs = np.concatenate(pairs)
-    y = (toxic_type[types] & (label[doc] == 1)).astype(float)
+    near = np.flatnonzero(beside)
+    sides = {}
+    for prefix in ("<", ">"):
+        sides[prefix] = np.full(len(words) + 1, -1)
+        sides[prefix][near] = np.arange(len(names), len(names) + len(near))
+        names += [prefix + words[int(k)].as_py() for k in near]
     chains = Chains(offs)
-    follow = np.flatnonzero((chains.step > 0))
+    inner = np.ones(len(types), bool)
+    inner[offs[:-1][np.diff(offs) > 0]] = False
+    follow = np.flatnonzero(inner)
     state = y.astype(np.int64)
     seen = np.zeros((2, 2))
     np.add.at(seen, (state[follow - 1], state[follow]), 1)
@@ -146,14 +207,20 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
     scale = max(1.0, y.sum())
     speed = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
     square = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
+
+    def potentials() -> np.ndarray:
+        own, at = np.full(len(words), bias), np.append(w, 0.0)
+        np.add.at(own, pairs[:, 0], w[pairs[:, 1]])
+        return own[types] + at[sides["<"]][before] + at[sides[">"]][behind]
+
     for r in range(1, rounds + 1):  # Adam on the penalised log-likelihood
-        score = np.full(len(words), bias)
-        np.add.at(score, pairs[:, 0], w[pairs[:, 1]])
-        p, changes, _ = chains.marginals(score[types], moves)
-        by_type = np.bincount(types, y - p, len(words))
+        p, changes = chains.marginals(potentials(), moves)
         g = np.zeros(len(names))
+        by_type = np.bincount(types, y - p, len(words))
         np.add.at(g, pairs[:, 1], by_type[pairs[:, 0]])
-        grads = [g / scale - 1e-4 * w, float(by_type.sum() / scale), (seen - changes) / scale - 1e-3 * moves]
+        for prefix, other in (("<", before), (">", behind)):
+            g[sides[prefix][near]] += np.bincount(other, y - p, len(words) + 1)[near]
+        grads = [g / scale - 1e-3 * w, float(by_type.sum() / scale), (seen - changes) / scale - 1e-3 * moves]
         steps = []
         for i, grad in enumerate(grads):
             speed[i] = 0.8 * speed[i] + 0.2 * grad
@@ -161,9 +228,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 40) -> Model:
             steps.append(0.3 * (speed[i] / (1 - 0.8**r)) / (np.sqrt(square[i] / (1 - 0.95**r)) + 1e-8))
         w, bias, moves = w + steps[0], min(bias + steps[1], -3.0), moves + steps[2]
     model = Model({f: float(x) for f, x in zip(names, w, strict=True)}, float(bias), moves, np.zeros(3))
-    score = np.full(len(words), bias)
-    np.add.at(score, pairs[:, 0], w[pairs[:, 1]])
-    p, _, _ = chains.marginals(score[types], moves)
+    p, _ = chains.marginals(potentials(), moves)
     model.document = _logistic(document_features(p, offs), label)
     return model
 
@@ -193,20 +258,24 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
 
-    def potentials(self, words: list[str]) -> np.ndarray:
+    def potentials(self, words: list[str], types: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Of each token, from its word and those beside it; types: places in words."""
         get, bias = self.model.weights.get, self.model.bias
-        out = []
+        own, left, right = [], [], []
         for raw in words:
             w = raw.strip(_ENDS)
-            out.append(bias + get("4:" + w[:4], 0.0) + get("5:" + w[:5], 0.0) + get("=" + w, 0.0))
-        return np.array(out, float)
+            own.append(bias + get("4:" + w[:4], 0.0) + get("5:" + w[:5], 0.0) + get("=" + w, 0.0))
+            left.append(get("<" + w, 0.0))
+            right.append(get(">" + w, 0.0))
+        before, behind = neighbours_of(types, offs, len(words))
+        return np.array(own)[types] + np.array([*left, 0.0])[before] + np.array([*right, 0.0])[behind]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Score, number of tokens that are toxic rather than not, and their places (start:end in characters) of each text."""
         coded, offs = tokens_of(texts)
         if len(coded):
-            potential = self.potentials(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-            p, _, _ = Chains(offs).marginals(potential, self.model.moves)
+            potential = self.potentials(coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offs)
+            p, _ = Chains(offs).marginals(potential, self.model.moves)
         else:
             p = np.zeros(0)
         score = 1 / (1 + np.exp(-document_features(p, offs) @ self.model.document))
@@ -231,14 +300,21 @@ def _places(text: str, numbers: list[int]) -> list[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train on about `sample` toxic and CLEAN times as many other labelled documents of up to sample_bytes, chosen by a hash."""
-    fine = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(fine, "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)))
-    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = {y: round(1_000_000 * min(1.0, most / max(1, n.get(y, 0)))) for y, most in ((0, CLEAN * sample), (1, sample))}
-    rows = known.where(F.col("h") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("text", "toxic").collect()  # about (1 + CLEAN) * sample
-    return train([(r.text, r.toxic) for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, *, sample_bytes: int = SAMPLE_BYTES, stretch: int = STRETCH) -> Model:
+    """Train on about sample_bytes of toxic documents and CLEAN times as much of other labelled ones, chosen by a hash.
+
+    Documents of any length are learnt from; of a text beyond `stretch` characters a stretch of that length counts.
+    """
+    size, hashed = F.length("text"), F.xxhash64("doc_id", "text")
+    at = F.when(size > stretch, F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(size - stretch, F.lit(1)))).otherwise(0)
+    fine = docs.where("text IS NOT NULL").select("doc_id", F.substring("text", (at + 1).cast("int"), F.lit(stretch)).alias("text"), hashed.alias("h"))
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(fine, "doc_id")
+    total = {r.toxic: r.size for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    bound = lambda y, most: min((1 << 63) - 1, int((2 * min(1.0, most / max(1, total.get(y) or 0)) - 1) * (1 << 63)))  # noqa: E731  of a hash over 64 bits
+    some = known.where(F.col("h") <= F.when(F.col("toxic") == 1, bound(1, sample_bytes)).otherwise(bound(0, CLEAN * sample_bytes)))
+    rows = some.select("text", "toxic", "h").collect()  # about (1 + CLEAN) * sample_bytes
+    rows = sorted((r.h, r.toxic, r.text) for r in rows)  # the same order every time
+    return train([(text, y) for _, y, text in rows])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
