@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.llm.common import spread_join
+
 ROUNDS = 60
 
 
@@ -12,12 +14,13 @@ def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of each node of links (a, b), both of one orderable type; root is the component's least node.
 
     Each step is two shuffles over links; every round is a checkpoint, so no lineage grows and a lost executor
-    costs one round. A hub's links are counted and dealt by both ends, never gathered in a row.
+    costs one round. A hub's links are counted and dealt to many tasks, never gathered in a row.
     """
 
-    def star(edges: DataFrame, keep: Column) -> DataFrame:
-        least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = edges.join(least, "a").where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def star(edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+        per = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        least = per.drop("n")
+        out = spread_join(edges, least, ["a"], per.select("a", "n")).where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out, least
 
     edges = links.select("a", "b").where("a <> b").distinct().checkpoint()

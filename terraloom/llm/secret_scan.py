@@ -1,8 +1,10 @@
 """Secrets in texts: fixed patterns, and words that read like random characters.
 
-Two first-order Markov models of characters are learnt, one from values that the fixed patterns found (random
-strings), one from ordinary identifiers (words of letters in the same documents, which are all). A word's log-likelihood ratio per
-character decides. All of it is DataFrame functions; the models are two tables of at most 65 x 65 transitions.
+Two first-order Markov models of characters are learnt from all documents, one from values that the fixed patterns
+found (random strings), one from the words outside them: prose, identifiers, numbers, paths. A word's log-likelihood
+ratio per character decides, so a number, whose characters ordinary words hold as well, is no secret. Words are
+counted before their characters are, so a text that many documents share costs one row. All of it is DataFrame
+functions; the models are two tables of at most 67 x 67 transitions.
 
 Null texts are empty; rows with equal or null ids are judged each for itself.
 """
@@ -14,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import let, table
+from terraloom.llm.common import let, staged, table
 from terraloom.llm.spans import apart, joined, labelled, spans
 
 LEAST_RATIO = 1.0  # per character
@@ -28,29 +30,43 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{32,}+"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ONE_CASE = r"^(?:[A-Z]?[a-z]++|[A-Z]++)$"  # scored in small letters, against a bound of their own
+PAIR = r"^[A-Za-z0-9+/_=-]{2}$"
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+"  # words that are learnt from
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
+def _ahead(text: Column) -> Column:
+    """A cheap condition that holds for every text with a match of a fixed pattern."""
+    return _assigns(text) | text.contains("AKIA") | text.rlike("[0-9a-f]{32}")
+
+
+def _assigns(text: Column) -> Column:
+    return (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN_AHEAD)
+
+
 def base_spans(text: Column) -> Column:
     """The fixed patterns' spans, labelled."""
-    assign = F.filter(spans(text, ASSIGN, (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN_AHEAD)), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN_VALUE, 1)) >= 8)
+    assign = F.filter(spans(text, ASSIGN, _assigns(text)), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN_VALUE, 1)) >= 8)
     access = F.filter(spans(text, ACCESS, text.contains("AKIA")), lambda x: F.length(x["value"]) >= 16)
     return F.concat(labelled(assign, "assign", 0), labelled(access, "access", 1), labelled(spans(text, HEX, text.rlike("[0-9a-f]{32}")), "hex", 2))
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """(value, random): the labelled words of all documents."""
+    """(value, random, n): the labelled words of all documents, and how often they occur."""
     some = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     value = lambda x: F.when(x["kind"] == "assign", F.regexp_extract(x["value"], ASSIGN_VALUE, 1)).otherwise(x["value"])
     found = some.select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("value"), F.lit(True).alias("random"))
-    words = some.select(F.explode(F.filter(F.split("text", r"[^A-Za-z_]+"), lambda w: F.length(w) >= 12)).alias("value"), F.lit(False).alias("random"))
-    return found.union(words)
+    rest = F.when(_ahead(F.col("text")), F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")).otherwise(F.col("text"))
+    words = some.select(F.explode(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))).alias("value"), F.lit(False).alias("random"))
+    return found.union(words).groupBy("value", "random").agg(F.count("*").alias("n"))
 
 
 def fit(labelled_words: DataFrame) -> dict[str, float]:
-    """Log-likelihood ratio (random to ordinary) of each character pair."""
-    pairs = labelled_words.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
-    rows = pairs.where(F.length("pair") == 2).groupBy("random", "pair").count().collect()  # at most two for each pair of the alphabet
+    """Log-likelihood ratio (random to ordinary) of each character pair; labelled_words: value, random and, if counted, n."""
+    if "n" not in labelled_words.columns:
+        labelled_words = labelled_words.withColumn("n", F.lit(1))
+    pairs = labelled_words.select("random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1))), lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
+    rows = pairs.where(F.col("pair").rlike(PAIR)).groupBy("random", "pair").agg(F.sum("n").alias("count")).collect()  # at most two for each pair of the alphabet
     n: dict[tuple[bool, str], int] = {(r.random, r.pair): r["count"] for r in rows}
     total: dict[tuple[bool, str], int] = {}
     single: dict[tuple[bool, str], int] = {}
@@ -93,7 +109,8 @@ def one_case_bound(labelled_words: DataFrame, model: dict[str, float]) -> float:
     if not model:
         return LEAST_RATIO
     words = labelled_words.where(~F.col("random") & (F.length("value") >= 16) & F.col("value").rlike(ONE_CASE))
-    rows = words.select(F.round(ratio(F.lower("value"), model), 2).alias("r")).groupBy("r").count().collect()  # some hundreds at most
+    weight = F.col("n") if "n" in words.columns else F.lit(1)
+    rows = words.select(F.round(ratio(F.lower("value"), model), 2).alias("r"), weight.alias("n")).groupBy("r").agg(F.sum("n").alias("count")).collect()  # some hundreds at most
     if not rows:
         return LEAST_RATIO
     found = sorted((r.r, r["count"]) for r in rows)
@@ -129,7 +146,7 @@ def secrets(docs: DataFrame, model: dict[str, float], *, least: float = LEAST_RA
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    words = samples(docs)
+    words = staged(samples(docs))
     model = fit(words)
     found = secrets(docs, model, one_case=one_case_bound(words, model))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

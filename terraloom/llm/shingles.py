@@ -1,9 +1,13 @@
-"""Near duplicates by the Jaccard similarity of their word shingles, found with MinHash and verified exactly.
+"""Near duplicates by the Jaccard similarity of their word shingles, found by SimHash and MinHash, verified exactly.
 
-Every distinct text gets BANDS keys of ROWS minima each; texts of similarity s share a key with probability
-1 - (1 - s^ROWS)^BANDS, that is 0.99994 at 0.8. Texts that share keys, over any number of steps, are candidates of
-one group; inside a group the shingles themselves decide, of all pairs that an exact prefix filter leaves, so no
-link is below the similarity and only a pair in no common group can be missed.
+Candidates come from two sources. SimHash fingerprints of the shingles are linked at four differing bits by the
+binary Golay code (see simhash), which finds near copies from a similarity of about 0.95 on. At 0.8 two fingerprints
+of 64 bits differ in about 10; words of 23 bits that differ so much share any nearby Golay codeword with probability
+0.6, so pairs of them (a key of 24 bits, 28 keys each) would need hundreds of keys a text, of which each meets one text in 20,000
+by chance. So, for what lies between, each text also gets BANDS keys of ROWS minima; texts of similarity s
+share one with probability 1 - (1 - s^ROWS)^BANDS, that is 0.99994 at 0.8. Texts that are candidates of each other, over
+any number of steps, form a group; inside a group the shingles themselves decide, of all pairs that an exact prefix
+filter leaves, so no link is below the similarity and only a pair in no common group can be missed.
 
 Groups beyond HOT texts are dealt to blocks that meet in pairs. Inside a block a search from text to text gives a
 spanning forest of the links, so a group of near copies makes no quadratic number of rows.
@@ -19,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import staged, text_slices, tidied
+from terraloom.llm.common import spread_join, staged, text_slices, tidied
 from terraloom.llm.components import components
+from terraloom.llm.simhash import bits_set, near_links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -133,15 +138,26 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            found = [keys(shingles(x.as_py(), words)) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            sets = [shingles(x.as_py(), words) for x in batch.column(2)]
+            fps = np.array([np.packbits(bits_set(x) * 2 > len(x), bitorder="little").view("<i8")[0] if len(x) else 0 for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array([keys(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "node", "fp", "keys"])
 
     texts = docs.select("doc_id", node_of().alias("node"), "text")
-    rows = staged(texts.mapInArrow(tidied(sketch), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, keys array<long>"))
-    per = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    rows = staged(texts.mapInArrow(tidied(sketch), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, keys array<long>"))
+    per = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    # equal fingerprints and those within four bits: each text is linked to the first of its fingerprint's component
+    alike = per.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    by_print = spread_join(per.select("node", "fp"), alike.select("fp", F.col("first").alias("a")), ["fp"], alike.select("fp", "n")).select("a", F.col("node").alias("b"))
+    near = near_links(alike.select("fp"))
+    first = alike.select("fp", "first")
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # equal keys: each text is linked to the least of its key
     found = staged(per.select("node", F.explode("keys").alias("k")))
-    shared = found.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    groups = components(found.join(shared, "k").where("a <> node").select("a", F.col("node").alias("b")))
+    shared = found.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z")
+    by_key = spread_join(found, shared.select("k", "a"), ["k"], shared.select("k", "n")).select("a", F.col("node").alias("b"))
+    groups = staged(components(by_key.where("a <> b").union(by_print.where("a <> b")).union(near)))
+    size = groups.groupBy("root").agg(F.count("*").alias("n"))
+    members = spread_join(groups, size.select("root", F.ceil(F.col("n") / hot).cast("int").alias("parts")), ["root"], size).withColumnRenamed("parts", "n").join(per.select("node", "least"), "node")
     # one row of each text in a group, dealt to blocks: block i meets block j in (i, j)
     members = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / hot).cast("int").alias("n")), "root").join(per.select("node", "least"), "node")
     members = members.select(F.col("node").alias("_node"), "least", "root", "n")
@@ -151,4 +167,20 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     dealt = one.select("root", F.explode(pair).alias("block"), "node", "text").repartition("root", "block").sortWithinPartitions("root", "block")
     links = dealt.mapInArrow(tidied(lambda batches: _links_of_sorted(batches, words, similarity)), "a long, b long")
     linked = components(links).withColumnRenamed("node", "_node")
-    return rows.join(linked, F.col("node") == F.col("_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    roots = per.select("node").join(linked, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    return spread_join(rows.select("doc_id", "node"), roots, ["node"], per.select("node", "n")).select("doc_id", "node", "root")
+
+
+def one_of_each(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with one row of each group of near duplicates by word shingles: that of the least doc_id.
+
+    Groups are of texts, so rows of one doc_id or of none are told apart by their texts, and a row whose text is
+    linked to no other stays whatever its id. Rows without an id come after all others.
+    """
+    found = near_groups(docs, words=words, similarity=similarity)
+    # the first row by (has an id, id, text) names the text that stays for its group
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node_of().alias("node"), "doc_id")
+    own = rows.join(keep, (F.col("node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return own.dropDuplicates(["node"]).select("row.*")

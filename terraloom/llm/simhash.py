@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import staged, table, tidied
+from terraloom.llm.common import spread_join, staged, table, tidied
 from terraloom.llm.components import components
-from terraloom.llm.shingles import SIMILARITY, WORDS, near_groups, node_of
 
 BITS = 4
 HOT = 20_000
@@ -46,9 +45,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     starts = [e - n for e, n in zip(ends, size, strict=True)]
     digest = xxhash.xxh64_intdigest
     last = min(words, len(parts)) - 1
-    h = np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[last:], strict=False)], np.uint64)
-    counts = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    counts, n = np.zeros(64, np.int64), len(parts) - last
+    for at in range(0, n, 1 << 16):  # hashes of a long text are held in portions
+        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[last + at :], strict=False)], np.uint64)
+        counts += bits_set(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -175,11 +181,13 @@ def near_links(fps: DataFrame, *, bits: int = BITS, hot: int = HOT) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[i])], ["k", "fp"])
 
     found = fps.select("fp").mapInArrow(tidied(expand), "k long, fp long")
-    large = found.groupBy("k").count().where(F.col("count") > hot).select("k", F.ceil(F.col("count") / hot).cast("int").alias("n"))
+    # keys of more than hot fingerprints: one in `hot` of all keys at most, joined by key with their parts dealt
+    sizes = found.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
+    large = sizes.select("k", F.ceil(F.col("rows") / hot).cast("int").alias("n"))
     block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     # block i meets block j in the bucket (i, j); a cool bucket is one block
     pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: (F.least(F.col("i"), j) * F.col("n") + F.greatest(F.col("i"), j)).cast("long"))
-    dealt = found.join(large, "k", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", block)
+    dealt = spread_join(found, large, ["k"], sizes.select("k", F.col("rows").alias("n")), how="left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", block)
     dealt = dealt.select("k", F.explode(pair).alias("block"), "fp")
     dealt = dealt.repartition("k", "block").sortWithinPartitions("k", "block")
     return dealt.mapInArrow(tidied(lambda batches: _links_of_sorted(batches, bits)), "a long, b long").distinct()
@@ -192,28 +200,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = BITS) -> Dat
     if none has an id). Texts without words have fingerprint 0. Repeated rows are linked by equal fingerprints.
     """
     rows = staged(with_fingerprints(docs, words))
-    per = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    per = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     groups = components(near_links(per, bits=bits))
-    joined = per.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(joined.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    joined = staged(per.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(joined.select("fp", "root"), least.drop("n"), ["root"], least.select("root", "n"))
+    return spread_join(rows, named, ["fp"], per.select("fp", "n")).select("doc_id", "fp", "root", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, all columns, with one row of each group of near duplicates by word shingles: that of the least doc_id.
-
-    Groups are of texts, so rows of one doc_id or of none are told apart by their texts, and a row whose text is
-    linked to no other stays whatever its id. Rows without an id come after all others.
-    """
-    found = near_groups(docs, words=words, similarity=similarity)
-    # the first row by (has an id, id, text) names the text that stays for its group
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_kept"))
-    own = docs.withColumn("_node", node_of())
-    own = own.join(keep, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return own.dropDuplicates(["_node"]).drop("_node")

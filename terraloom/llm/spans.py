@@ -84,5 +84,5 @@ def apart(found: Column, base: Column) -> Column:
         return F.transform(F.filter(both, lambda p: (p["x"]["own"] == 1) & (p["e"] <= p["x"]["span"]["start"]) & (p["s"] >= p["x"]["span"]["stop"])), lambda p: p["x"]["span"])
 
     mark = lambda spans_, own: F.transform(spans_, lambda x: F.struct(x["start"].alias("at"), F.lit(own).alias("own"), x.alias("span")))
-    meet = let(F.sort_array(F.concat(mark(base, 0), mark(found, 1))), swept)
-    return F.when((F.size(found) > 0) & (F.size(base) > 0), meet).otherwise(found)
+    meet = lambda f, b: F.when((F.size(f) > 0) & (F.size(b) > 0), let(F.sort_array(F.concat(mark(b, 0), mark(f, 1))), swept)).otherwise(f)
+    return let(found, lambda f: let(base, lambda b: meet(f, b)))
