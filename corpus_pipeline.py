@@ -15,13 +15,13 @@ from terraloom.llm.common import TOKENIZER_FILE, staged, table
 from terraloom.llm.decontaminate import decontaminated
 from terraloom.llm.lines import pruned
 from terraloom.llm.packing import packed
-from terraloom.llm.simhash import one_of_each
+from terraloom.llm.shingles import one_of_each
 from terraloom.llm.tokens import tokenizer_path
 from terraloom.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the span tagger, trained on a sample of the labelled texts of up to 8,000 bytes, scores below its threshold."""
+    """Documents that the span tagger, trained on a bounded sample of the labelled texts, scores below its threshold."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
