@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import spread_join
 
 ROUNDS = 60
+HOT = 100_000
 
 
 def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
@@ -17,14 +18,19 @@ def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     costs one round. A hub's links are counted and dealt to many tasks, never gathered in a row.
     """
 
+    def linked(edges: DataFrame, per: DataFrame, rows: int) -> DataFrame:
+        """edges with their nodes' least; only tables of many rows can hold a node that needs dealing."""
+        least = per.drop("n")
+        return edges.join(least, "a") if rows <= HOT else spread_join(edges, least, ["a"], per.select("a", "n"), hot=HOT)
+
     def star(edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
         per = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         least = per.drop("n")
-        out = spread_join(edges, least, ["a"], per.select("a", "n")).where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = linked(edges, per, 2 * rows).where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out, least
 
     edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
-    sign = None
+    sign, rows = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large, _ = star(both, F.col("b") > F.col("a"))
@@ -35,7 +41,7 @@ def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == sign:
             break
-        sign = now
+        sign, rows = now, now[0]
     else:
         raise RuntimeError("the components are not done")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

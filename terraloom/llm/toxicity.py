@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import table, text_slices, tidied
+from terraloom.llm.common import give_back, table, text_slices, tidied
 
 BLOCK = 64  # tokens that one step of the matrix products takes in
 SAMPLE_BYTES = 2 << 20  # text of toxic documents that is learnt from, about
@@ -308,13 +308,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_bytes: int = SAMPLE_BYTES,
     size, hashed = F.length("text"), F.xxhash64("doc_id", "text")
     at = F.when(size > stretch, F.pmod(F.xxhash64("text", F.lit(7)), F.greatest(size - stretch, F.lit(1)))).otherwise(0)
     fine = docs.where("text IS NOT NULL").select("doc_id", F.substring("text", (at + 1).cast("int"), F.lit(stretch)).alias("text"), hashed.alias("h"))
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(fine, "doc_id")
-    total = {r.toxic: r.size for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
+    sizes = known.join(fine.select("doc_id", F.octet_length("text").alias("size")), "doc_id").groupBy("toxic").agg(F.sum("size").alias("size"))
+    total = {r.toxic: r["size"] for r in sizes.collect()}
     bound = lambda y, most: min((1 << 63) - 1, int((2 * min(1.0, most / max(1, total.get(y) or 0)) - 1) * (1 << 63)))  # noqa: E731  of a hash over 64 bits
-    some = known.where(F.col("h") <= F.when(F.col("toxic") == 1, bound(1, sample_bytes)).otherwise(bound(0, CLEAN * sample_bytes)))
-    rows = some.select("text", "toxic", "h").collect()  # about (1 + CLEAN) * sample_bytes
-    rows = sorted((r.h, r.toxic, r.text) for r in rows)  # the same order every time
-    return train([(text, y) for _, y, text in rows])
+    toxic, clean_ = bound(1, sample_bytes), bound(0, CLEAN * sample_bytes)
+    some = known.join(fine.where(F.col("h") <= max(toxic, clean_)), "doc_id").where(F.col("h") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean_))
+    rows = some.select("text", "toxic", "h").toArrow().to_pylist()  # about (1 + CLEAN) * sample_bytes
+    model = train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["h"], r["toxic"], r["text"]))])  # the same order every time
+    del rows
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
