@@ -1 +1 @@
-
+"""Column expressions over map tags."""

@@ -7,28 +7,36 @@ from pyspark.sql import functions as F
 
 from terraloom.operators.spatial import mercator, points_in_boxes
 
-TAGS = ("amenity", "shop", "highway", "natural", "landuse", "building", "waterway", "tourism")
+# fixed values: the tags that are counted, on features of one geometry type each
+COUNTED = {"point": ("amenity", "shop", "leisure", "tourism", "historic", "natural"), "line": ("highway", "waterway", "railway"), "polygon": ("building", "landuse")}
+TAGS = tuple(t for own in COUNTED.values() for t in own)
+COUNTERS = tuple(c for kind, own in COUNTED.items() for c in (f"n_{kind}s", *(f"n_{t}" for t in own)))
+# fixed values: the nine groups of counters whose presence is scored
+GROUPS = (("amenity",), ("shop",), ("highway", "railway"), ("leisure",), ("natural",), ("waterway",), ("tourism", "historic"), ("building",), ("landuse",))
 # fixed values: bucket bounds on richness, and the share of each bucket
 BUCKETS = (("very_low", 0.20, 0.02), ("low", 0.40, 0.12), ("medium", 0.65, 0.77), ("high", 1.01, 0.09))
 
 
 def location_counts(features: DataFrame, locations: DataFrame, half: float) -> DataFrame:
-    """Per location the features within `half` Mercator metres in x and y: by geometry type, and non-null by tag; 0 where none."""
+    """Per location COUNTERS over the features within `half` Mercator metres in x and y, 0 where none.
+
+    Features are counted by place and tags before the join, so many at one place are one row there.
+    """
     fx, fy = mercator(F.col("lat"), F.col("lon"))
-    points = features.select("geom_type", *TAGS, fx.alias("px"), fy.alias("py"))
+    tagged = [(F.col(t).isNotNull() & (F.col("geom_type") == kind)).alias(t) for kind, own in COUNTED.items() for t in own]
+    points = features.select("geom_type", fx.alias("px"), fy.alias("py"), *tagged).groupBy("geom_type", "px", "py").agg(F.count("*").alias("n"), *[F.count_if(t).alias(t) for t in TAGS])
     x, y = mercator(F.col("lat"), F.col("lon"))
     boxes = locations.select("loc_id", (x - half).alias("xmin"), (y - half).alias("ymin"), (x + half).alias("xmax"), (y + half).alias("ymax"))
-    kinds = [F.count_if(F.col("geom_type") == k).alias(f"n_{k}s") for k in ("point", "line", "polygon")]
-    found = points_in_boxes(points, boxes, 2 * half).groupBy("loc_id").agg(*kinds, *[F.count(t).alias(f"n_{t}") for t in TAGS])
-    names = found.columns[1:]
-    return locations.join(found, "loc_id", "left").select("loc_id", "lat", "lon", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    sums = [F.sum(F.when(F.col("geom_type") == k, F.col("n")).otherwise(0)).alias(f"n_{k}s") for k in COUNTED]
+    found = points_in_boxes(points, boxes, 2 * half).groupBy("loc_id").agg(*sums, *[F.sum(t).alias(f"n_{t}") for t in TAGS])
+    return locations.join(found, "loc_id", "left").select("loc_id", "lat", "lon", *[F.coalesce(n, F.lit(0)).alias(n) for n in COUNTERS])
 
 
 def proxy_richness() -> Column:
     """Weights .30 / .25 / .20 / .15 / .10 of tag variety, categories, count, geometry balance, density."""
     c = F.col
     total = c("n_points") + c("n_lines") + c("n_polygons")
-    cats = sum(((c(f"n_{t}") > 0).cast("int") for t in TAGS), F.lit(0))
+    cats = sum((F.greatest(*[c(f"n_{t}") for t in own], F.lit(0)).cast("long") > 0).cast("int") for own in GROUPS)
     share = [c(k) / total for k in ("n_points", "n_lines", "n_polygons")]
     entropy = -sum((F.when(p > 0, p * F.log(p)).otherwise(0.0) for p in share), F.lit(0.0)) / 1.0986122886681098
     score = 0.30 * cats / 9.0 + 0.25 * cats / 10.0 + 0.20 * F.least(total / 50.0, F.lit(1.0)) + 0.15 * entropy + 0.10 * F.least(total / 20.0, F.lit(1.0))

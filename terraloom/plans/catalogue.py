@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.operators import scoring, spatial
+from terraloom.plans import measures
 from terraloom.sources.views import duck_sql, spark_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +24,19 @@ _TILED = f"""WITH fm AS (SELECT *, floor(px / 400000.0D) AS tx, floor(py / 40000
 lx AS (SELECT *, {{seq:floor((cx - 200000.0D) / 400000.0D);floor((cx + 200000.0D) / 400000.0D)}} AS tx FROM lm), lt AS (SELECT *, {{seq:floor((cy - 200000.0D) / 400000.0D);floor((cy + 200000.0D) / 400000.0D)}} AS ty FROM lx),
 pairs AS (SELECT loc_id, feature_id, geom_type, f.lat AS flat, f.lon AS flon, l.lat AS llat, l.lon AS llon, amenity, shop, highway, "natural", landuse, building, waterway, tourism, area, length,
   sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS d FROM fm f JOIN lt l ON f.tx = l.tx AND f.ty = l.ty AND px BETWEEN cx - 200000.0D AND cx + 200000.0D AND py BETWEEN cy - 200000.0D AND cy + 200000.0D)"""
-_TAGS = ("amenity", "shop", "highway", '"natural"', "landuse", "building", "waterway", "tourism")
-_COUNTS = _JOINED + ", counts AS (SELECT l.loc_id, l.lat, l.lon, " + ", ".join(f"count(CASE WHEN geom_type = '{k}' THEN 1 END) AS n_{k}s" for k in ("point", "line", "polygon")) + ", " + ", ".join(f"count({t}) AS n_{t.strip(chr(34))}" for t in _TAGS) + " FROM loc l LEFT JOIN pairs p ON l.loc_id = p.loc_id GROUP BY l.loc_id, l.lat, l.lon)"
-_CATS = " + ".join(f"CASE WHEN n_{t.strip(chr(34))} > 0 THEN 1 ELSE 0 END" for t in _TAGS)
+_IN = "JOIN fm f ON px BETWEEN cx - 200000.0D AND cx + 200000.0D AND py BETWEEN cy - 200000.0D AND cy + 200000.0D AND geom_type"
+
+
+def _per_type(kind: str) -> str:
+    own = ", ".join(f'count("{t}") AS n_{t}' for t in scoring.COUNTED[kind])
+    return f"SELECT loc_id, count(*) AS n_{kind}s, {own} FROM lm l {_IN} = '{kind}' GROUP BY loc_id"
+
+
+# one aggregate for each geometry type, as the tables of a map database have it
+_COUNTS = f"""WITH fm AS (SELECT *, {MERC.format(p='', q='p')} FROM feat), lm AS (SELECT loc_id, {MERC.format(p='', q='c')} FROM loc),
+ cp AS ({_per_type('point')}), cl AS ({_per_type('line')}), cg AS ({_per_type('polygon')}),
+ counts AS (SELECT loc.loc_id, lat, lon, {', '.join(f'coalesce({c}, 0) AS {c}' for c in scoring.COUNTERS)} FROM loc LEFT JOIN cp ON loc.loc_id = cp.loc_id LEFT JOIN cl ON loc.loc_id = cl.loc_id LEFT JOIN cg ON loc.loc_id = cg.loc_id)"""
+_CATS = " + ".join(f"CASE WHEN {' + '.join('n_' + t for t in own)} > 0 THEN 1 ELSE 0 END" for own in scoring.GROUPS)
 _ENT = " + ".join(f"CASE WHEN {c} > 0 THEN {c} * 1.0D / t * ln({c} * 1.0D / t) ELSE 0.0D END" for c in ("n_points", "n_lines", "n_polygons"))
 _SCORED = _COUNTS + f""", s AS (SELECT *, CASE WHEN t = 0 THEN 0.0D ELSE least(1.0D, 0.3D * cats / 9.0D + 0.25D * cats / 10.0D + 0.2D * least(t / 50.0D, 1.0D) + 0.15D * -({_ENT}) / 1.0986122886681098D + 0.1D * least(t / 20.0D, 1.0D)) END AS richness
  FROM (SELECT *, n_points + n_lines + n_polygons AS t, {_CATS} AS cats FROM counts)), scored AS (SELECT *, CASE WHEN richness < 0.2D THEN 'very_low' WHEN richness < 0.4D THEN 'low' WHEN richness < 0.65D THEN 'medium' ELSE 'high' END AS bucket, concat(cast(cast(floor(lat / 10.0D) AS int) AS varchar(9)), '_', cast(cast(floor(lon / 10.0D) AS int) AS varchar(9))) AS cell FROM s)"""
@@ -43,7 +54,7 @@ def location_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("loc_id", F.round("richness", 6).alias("richness"), "bucket").orderBy("bucket", "richness", "loc_id")
+    return _scored(spark, sf_dir).select("loc_id", F.round("richness", 6).alias("richness"), "bucket").orderBy(F.array_position(F.array(*[F.lit(n) for n, _, _ in scoring.BUCKETS]), F.col("bucket")), "richness", "loc_id")
 
 
 def select_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +94,7 @@ _QUOTA = " ".join(f"WHEN '{n}' THEN {q}" for n, q in scoring.quotas(40).items())
 
 #: name: (DataFrame query, SQL for DuckDB)
 FRAMES: dict[str, tuple[Query, str]] = {
-    "location_counts": (location_counts, f"{_COUNTS} SELECT loc_id, n_points, n_lines, n_polygons, {', '.join('n_' + t.strip(chr(34)) for t in _TAGS)} FROM counts"),
+    "location_counts": (location_counts, f"{_COUNTS} SELECT loc_id, {', '.join(scoring.COUNTERS)} FROM counts"),
     "score_locations": (score_locations, f"{_SCORED} SELECT loc_id, round(richness, 6) AS richness, bucket FROM scored"),
     "select_diverse": (select_diverse, f"""{_SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY md5(concat('42:', cast(loc_id AS varchar(20))))) AS r FROM scored),
  k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('42:', cast(loc_id AS varchar(20))))) AS k FROM c WHERE r <= 2) SELECT loc_id, bucket, cell FROM k WHERE k <= CASE bucket {_QUOTA} END"""),
@@ -99,7 +110,6 @@ _CATEGORY = """CASE WHEN k = 'amenity' AND v IN ('restaurant', 'cafe', 'bar', 'f
  WHEN k = 'natural' OR k = 'landuse' AND v IN ('forest', 'meadow', 'farmland', 'grass', 'heath', 'orchard', 'vineyard', 'scrub') THEN 'nature_green' WHEN k = 'leisure' THEN 'leisure' WHEN k IN ('waterway', 'water') THEN 'water'
  WHEN k = 'tourism' THEN 'tourism' WHEN k = 'building' THEN 'built_environment' WHEN k = 'amenity' AND v IN ('hospital', 'clinic', 'doctors', 'pharmacy', 'dentist', 'nursing_home', 'veterinary') THEN 'health' END"""
 _BEAR = "atan2(sin(radians(flon - llon)) * cos(radians(flat)), cos(radians(llat)) * sin(radians(flat)) - sin(radians(llat)) * cos(radians(flat)) * cos(radians(flon - llon)))"
-_BANDS = _JOINED + f""", bands AS (SELECT *, CASE WHEN d < r / 2.0D THEN 0 ELSE 1 END AS ring, cast(floor(((degrees({_BEAR}) + 360.0D + 45.0D) - 360.0D * floor((degrees({_BEAR}) + 405.0D) / 360.0D)) / 90.0D) AS int) AS sector FROM pairs JOIN (SELECT 50000.0D AS r UNION ALL SELECT 200000.0D) q ON d <= r)"""
 SQL: dict[str, str] = {
     # expressions
     "mercator_xy": f"SELECT feature_id, round(x, 3) AS x, round(y, 3) AS y FROM (SELECT feature_id, {MERC.format(p='', q='')} FROM feat)",
@@ -110,10 +120,6 @@ SQL: dict[str, str] = {
     "density_bucket": "SELECT feature_id, CASE WHEN x < 0.2D THEN 'very_low' WHEN x < 0.4D THEN 'low' WHEN x < 0.65D THEN 'medium' ELSE 'high' END AS bucket FROM (SELECT feature_id, {u:cast(feature_id AS varchar(20))} AS x FROM feat)",
     "missing_values": "SELECT k, count(*) AS rows_all, count(CASE WHEN trim(v) <> '' AND lower(trim(v)) NOT IN ('nan', 'none') THEN 1 END) AS present FROM kv GROUP BY k",
     "feature_labels": """SELECT feature_id, CASE WHEN label = '' THEN 'unknown:unknown' ELSE label END AS label FROM (SELECT feature_id, concat_ws(';', CASE WHEN amenity IS NOT NULL THEN concat('amenity:', amenity) END, CASE WHEN building IN ('yes', 'true', '1') THEN 'building' END, CASE WHEN highway IS NOT NULL THEN concat('highway:', highway) END, CASE WHEN shop IS NOT NULL THEN concat('shop:', shop) END) AS label FROM feat)""",
-    "descriptions": """SELECT feature_id, coalesce('a ' || amenity, 'a ' || shop || ' shop', 'a ' || tourism, 'a ' || waterway, 'natural ' || "natural", 'a ' || landuse || ' area', 'a ' || highway, 'a ' || building || ' building', '') AS description FROM feat""",
-    "first_category": f"SELECT feature_id, min(category) AS category FROM (SELECT feature_id, {_CATEGORY} AS category FROM kv) WHERE category IS NOT NULL GROUP BY feature_id",
-    "road_class": "SELECT feature_id, CASE WHEN lower(trim(highway)) IN ('motorway', 'trunk') THEN 'motorway_trunk' WHEN lower(trim(highway)) = 'primary' THEN 'primary' WHEN lower(trim(highway)) IN ('secondary', 'tertiary') THEN 'secondary' WHEN lower(trim(highway)) IN ('residential', 'living_street', 'service', 'unclassified') THEN 'residential' WHEN lower(trim(highway)) IN ('footway', 'path', 'cycleway', 'pedestrian', 'steps', 'track') THEN 'path' END AS class FROM feat WHERE highway IS NOT NULL",
-    "landuse_class": "SELECT feature_id, CASE WHEN landuse IN ('residential', 'housing', 'apartments') THEN 'residential' WHEN landuse IN ('commercial', 'retail', 'office') THEN 'commercial' WHEN landuse IN ('industrial', 'port', 'quarry') THEN 'industrial' WHEN landuse IN ('forest', 'farmland', 'meadow', 'grass', 'heath', 'orchard', 'vineyard', 'scrub', 'village_green') THEN 'natural' WHEN landuse IN ('recreation_ground', 'cemetery', 'greenfield') THEN 'recreation' END AS class FROM feat WHERE geom_type = 'polygon'",
     "pixel_affine": "SELECT box_id, xmin * 0.5D + 10.0D AS px, 300.0D - ymin * 0.5D AS py FROM box",
     "normalised_coords": "SELECT box_id, round((xmin - w) / greatest(e - w, 0.00000001D), 9) AS nx, round(1.0D - (ymin - s) / greatest(n - s, 0.00000001D), 9) AS ny FROM box JOIN (SELECT min(xmin) AS w, max(xmax) AS e, min(ymin) AS s, max(ymax) AS n FROM box) b ON 1 = 1",
     "box_measures": "SELECT box_id, (xmax - xmin) * (ymax - ymin) AS area, 2.0D * (xmax - xmin + ymax - ymin) AS perimeter, (xmin + xmax) / 2.0D AS cx, (ymin + ymax) / 2.0D AS cy FROM box",
@@ -136,16 +142,11 @@ SQL: dict[str, str] = {
     "mean_idf": _KVN + ", f AS (SELECT k, sum(n) * 1.0D AS freq FROM c GROUP BY k), m AS (SELECT max(freq) AS top FROM f) SELECT cell, round(sum(ln(top / freq + 1.0D)) / greatest(count(*), 1), 9) AS idf FROM (SELECT DISTINCT cell, k FROM c) d JOIN f ON d.k = f.k JOIN m ON 1 = 1 GROUP BY cell",
     "category_coverage": f"SELECT cell, count(DISTINCT category) / 10.0D AS coverage FROM (SELECT cast(floor(lat / 10.0D) AS int) AS cell, {_CATEGORY} AS category FROM kv) GROUP BY cell",
     "geometry_entropy": "SELECT cell, round(CASE WHEN count(*) <= 1 THEN 0.0D ELSE -sum(p * ln(p)) END, 9) AS entropy FROM (SELECT cell, n / sum(n) OVER (PARTITION BY cell) AS p FROM (SELECT cast(floor(lat / 10.0D) AS int) AS cell, geom_type, count(*) * 1.0D AS n FROM feat GROUP BY cast(floor(lat / 10.0D) AS int), geom_type) a) b GROUP BY cell",
-    "spatial_coverage": "SELECT cell, count(DISTINCT gx * 100 + gy) / 16.0D AS coverage FROM (SELECT cell, greatest(0, least(3, cast(ceil((lon - w) / ((e - w) / 4.0D)) AS int) - 1)) AS gx, greatest(0, least(3, cast(ceil((lat - s) / ((n - s) / 4.0D)) AS int) - 1)) AS gy FROM (SELECT cast(floor(lat / 10.0D) AS int) AS cell, lat, lon, min(lon) OVER (PARTITION BY cast(floor(lat / 10.0D) AS int)) AS w, max(lon) OVER (PARTITION BY cast(floor(lat / 10.0D) AS int)) AS e, min(lat) OVER (PARTITION BY cast(floor(lat / 10.0D) AS int)) AS s, max(lat) OVER (PARTITION BY cast(floor(lat / 10.0D) AS int)) AS n FROM feat) a WHERE e - w >= 0.000000001D AND n - s >= 0.000000001D) b GROUP BY cell",
     "density_raster": "SELECT cast(floor(lat) AS int) AS lat_bin, cast(floor(lon) AS int) AS lon_bin, count(*) AS cnt FROM feat WHERE geom_type = 'point' GROUP BY cast(floor(lat) AS int), cast(floor(lon) AS int) HAVING count(*) >= 1",
     "unique_labels": "SELECT count(DISTINCT concat(k, ':', v)) AS n FROM kv WHERE concat(k, ':', v) <> 'unknown:unknown'",
     "semantic_depth": "SELECT round(count(*) * 1.0D / max(n), 9) AS depth FROM kv JOIN (SELECT count(*) AS n FROM feat) f ON 1 = 1",
-    "feature_density": _JOINED + " SELECT l.loc_id, CASE WHEN b > 0.0D THEN round(n / ((2.0D * b / 1000.0D) * (2.0D * b / 1000.0D)), 9) END AS density FROM loc l LEFT JOIN (SELECT loc_id, count(*) AS n, 200000.0D AS b FROM pairs GROUP BY loc_id) c ON l.loc_id = c.loc_id",
+    "feature_density": _JOINED + " SELECT l.loc_id, round(coalesce(n, 0) / ((2.0D * 200000.0D / 1000.0D) * (2.0D * 200000.0D / 1000.0D)), 9) AS density FROM loc l LEFT JOIN (SELECT loc_id, count(*) AS n FROM pairs GROUP BY loc_id) c ON l.loc_id = c.loc_id",
     # bands
-    "band_scopes": _BANDS + " SELECT loc_id, r, coalesce(ring, -1) AS ring, coalesce(sector, -1) AS sector, count(*) AS n, round(min(d), 3) AS nearest, round(sum(CASE WHEN geom_type = 'polygon' THEN area ELSE 0.0D END), 6) AS area, round(sum(CASE WHEN geom_type = 'line' THEN length ELSE 0.0D END) / (pi() * r * r / 1000000.0D), 9) AS line_density FROM bands GROUP BY GROUPING SETS ((loc_id, r), (loc_id, r, ring), (loc_id, r, sector))",
-    "band_landuse": _BANDS + " SELECT loc_id, r, round(sum(CASE WHEN landuse = 'forest' THEN area ELSE 0.0D END) / sum(area), 9) AS natural_share, round(sum(CASE WHEN landuse = 'retail' THEN area ELSE 0.0D END) / sum(area), 9) AS commercial_share FROM bands WHERE geom_type = 'polygon' GROUP BY loc_id, r HAVING sum(area) >= 1.0D",
-    "band_roads": _BANDS + " SELECT loc_id, r, round(sum(CASE WHEN highway = 'primary' THEN length ELSE 0.0D END) / greatest(sum(length), 0.001D), 9) AS major_ratio FROM bands WHERE geom_type = 'line' AND highway IS NOT NULL GROUP BY loc_id, r",
-    "band_distances": _BANDS + " SELECT loc_id, r, round(coalesce(min(CASE WHEN shop IS NOT NULL THEN d END), r), 3) AS retail_min, round(coalesce(avg(CASE WHEN shop IS NOT NULL THEN d END), r), 3) AS retail_mean FROM bands GROUP BY loc_id, r",
     "total_bounds": "SELECT coalesce(min(xmin), 1.0D) AS west, coalesce(max(xmax), 0.0D) AS east, coalesce(min(ymin), 1.0D) AS south, coalesce(max(ymax), 0.0D) AS north FROM box",
     # joins, sets, windows, sampling
     "semi_density": "SELECT loc_id FROM loc WHERE EXISTS (SELECT 1 FROM feat WHERE cast(floor(feat.lat) AS int) = cast(floor(loc.lat) AS int) AND cast(floor(feat.lon) AS int) = cast(floor(loc.lon) AS int))",
@@ -153,14 +154,7 @@ SQL: dict[str, str] = {
     "multi_radius": _JOINED + " SELECT loc_id, r, count(*) AS n FROM pairs JOIN (SELECT 50000.0D AS r UNION ALL SELECT 100000.0D UNION ALL SELECT 200000.0D) q ON d <= r GROUP BY loc_id, r",
     "relation_one_hot": _PAIRS + " SELECT src, dst, CASE WHEN rel = 2 THEN 1.0D ELSE 0.0D END AS touches, CASE WHEN rel = 3 THEN 1.0D ELSE 0.0D END AS overlaps, CASE WHEN rel = 4 THEN 1.0D ELSE 0.0D END AS covered, CASE WHEN rel = 5 THEN 1.0D ELSE 0.0D END AS covers FROM r WHERE rel NOT IN (1, 7)",
     "graph_self_edges": "SELECT box_id AS src, box_id AS dst, 0 AS rel FROM box",
-    "level_selection": "WITH m AS (SELECT loc_id, lv, ln(100.0D * lv) AS lb, ln(greatest(1.0D, (loc_id * lv) % 50 * 1.0D)) AS nn, (loc_id * lv) % 50 AS nodes, {u:concat(cast(loc_id AS varchar(20)), ':', cast(lv AS varchar(20)))} AS rich FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a), n AS (SELECT *, CASE WHEN max(lb) OVER w = min(lb) OVER w THEN 1.0D ELSE (lb - min(lb) OVER w) / (max(lb) OVER w - min(lb) OVER w) END AS bn, CASE WHEN max(nn) OVER w = min(nn) OVER w THEN 1.0D ELSE (nn - min(nn) OVER w) / (max(nn) OVER w - min(nn) OVER w) END AS on1 FROM m WINDOW w AS (PARTITION BY loc_id)), s AS (SELECT *, rich - 0.1D * bn - 0.5D * on1 - CASE WHEN nodes < 10 THEN 2.0D ELSE 0.0D END AS score FROM n) SELECT loc_id, cast(lv AS int) AS level, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY score DESC, lv) AS k FROM s) z WHERE k = 1",
-    "first_level_with_data": "SELECT loc_id, cast(lv AS int) AS level FROM (SELECT loc_id, lv, min(CASE WHEN (loc_id + lv) % 3 = 0 THEN lv END) OVER (PARTITION BY loc_id) AS first_lv FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a) b WHERE lv >= first_lv",
-    "take_while_limit": "SELECT loc_id, cast(lv AS int) AS level FROM (SELECT loc_id, lv, max(CASE WHEN loc_id * lv % 97 > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY loc_id ORDER BY lv ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit FROM (SELECT loc_id, {seq:1;5} AS lv FROM loc) a) b WHERE hit = 0",
-    "adaptive_expansion": _JOINED + """, st AS (SELECT loc_id, step, size, count(*) AS nodes, count(DISTINCT concat(coalesce(amenity, ''), '|', coalesce(shop, ''), '|', coalesce(highway, ''))) AS labels
-  FROM pairs JOIN (SELECT 0 AS step, 50000.0D AS size UNION ALL SELECT 1, 75000.0D UNION ALL SELECT 2, 112500.0D UNION ALL SELECT 3, 168750.0D) z ON d <= size GROUP BY loc_id, step, size)
- SELECT l.loc_id, min(step) AS step, min(size) AS size FROM loc l LEFT JOIN st ON l.loc_id = st.loc_id AND nodes >= 5 AND labels >= 3 GROUP BY l.loc_id""",
     "finest_level": "SELECT loc_id % 50 AS g, min_by(loc_id, k) AS first_id, min_by(score, k) FILTER (WHERE score IS NOT NULL) AS score, count(*) AS levels FROM (SELECT loc_id, CASE WHEN loc_id % 3 > 0 THEN lat END AS score, row_number() OVER (PARTITION BY loc_id % 50 ORDER BY lon, loc_id) AS k FROM loc) a GROUP BY loc_id % 50",
-    "row_cap": "SELECT geom_type, feature_id, n > 100 AS overflow FROM (SELECT geom_type, feature_id, row_number() OVER (PARTITION BY geom_type ORDER BY feature_id) AS k, count(*) OVER (PARTITION BY geom_type) AS n FROM feat) a WHERE k <= 100",
     "weighted_sample": "SELECT feature_id FROM (SELECT feature_id, ln({u:concat('w', cast(feature_id AS varchar(20)))} + 0.0000000001D) / (0.5D + feature_id % 10) AS w FROM feat) a ORDER BY w DESC, feature_id LIMIT 100",
     "bucket_quotas": "SELECT bucket, cast(base + CASE WHEN k <= 97 - sum(base) OVER () THEN 1 ELSE 0 END AS bigint) AS quota FROM (SELECT bucket, floor(97 * f) AS base, row_number() OVER (ORDER BY 97 * f - floor(97 * f) DESC, o) AS k FROM (SELECT 'very_low' AS bucket, 0.02D AS f, 0 AS o UNION ALL SELECT 'low', 0.12D, 1 UNION ALL SELECT 'medium', 0.77D, 2 UNION ALL SELECT 'high', 0.09D, 3) a) b",
     "insert_or_ignore": "SELECT k, loc_id FROM (SELECT loc_id % 40 AS k, loc_id, row_number() OVER (PARTITION BY loc_id % 40 ORDER BY loc_id) AS n FROM loc) a WHERE n = 1 AND k NOT IN (SELECT r_regionkey FROM region)",
@@ -179,8 +173,8 @@ def _plain(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {n: q for n, (q, _) in FRAMES.items()} | {n: partial(_plain, s) for n, s in SQL.items()}
+    return {n: q for n, (q, _) in (FRAMES | measures.FRAMES).items()} | {n: partial(_plain, s) for n, s in SQL.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {n: duck_sql(s) for n, (_, s) in FRAMES.items()} | {n: duck_sql(s) for n, s in SQL.items()}
+    return {n: duck_sql(s) for n, (_, s) in (FRAMES | measures.FRAMES).items()} | {n: duck_sql(s) for n, s in SQL.items()}
