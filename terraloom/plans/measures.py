@@ -21,7 +21,7 @@ def _views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(n, digits) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+    return df.select(*[(F.round(n, 3 if n.startswith("dist_") else digits) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +71,15 @@ def _bands(spark: SparkSession, sf_dir: str, by: str | None, bins: int) -> DataF
 
 
 def band_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(bands.whole(_bands(spark, sf_dir, None, 1)))
+    return _rounded(bands.whole(_bands(spark, sf_dir, None, 1)), 9)
 
 
 def band_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(bands.binned(_bands(spark, sf_dir, "ring", bands.RINGS), "ring"))
+    return _rounded(bands.binned(_bands(spark, sf_dir, "ring", bands.RINGS), "ring"), 9)
 
 
 def band_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(bands.binned(_bands(spark, sf_dir, "sector", bands.SECTORS), "sector"))
+    return _rounded(bands.binned(_bands(spark, sf_dir, "sector", bands.SECTORS), "sector"), 9)
 
 
 def spatial_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def _band_sql(by: str | None, bins: int, share: str, columns: list[str]) -> str:
     own += [f"count(*) FILTER (WHERE category = '{k}') AS cat_{k}" for k in tags.CATEGORIES] + [f"sum(CASE WHEN luc = '{k}' THEN area ELSE 0.0D END) AS lu_{k}" for k in tags.LANDUSE_CLASSES]
     own += [f"sum(CASE WHEN rc = '{k}' THEN length ELSE 0.0D END) AS road_{k}" for k in tags.ROADS] + [f"min(d) FILTER (WHERE category = '{k}') AS dmin_{k}, avg(d) FILTER (WHERE category = '{k}') AS dmean_{k}" for k in tags.DISTANCES]
     on = " AND ".join(f"l.{c} = a.{c}" for c in ("loc_id", "r", *([by] if by else [])))
-    picked = ", ".join(f"round({c.rsplit(' AS ', 1)[0]}, 6) + 0.0D AS {c.rsplit(' AS ', 1)[1]}" for c in columns).replace("{km2}", f"(pi() * l.r * l.r * {share} / 1000000.0D)")
+    picked = ", ".join(f"round({c.rsplit(' AS ', 1)[0]}, {3 if ' AS dist_' in c else 9}) + 0.0D AS {c.rsplit(' AS ', 1)[1]}" for c in columns).replace("{km2}", f"(pi() * l.r * l.r * {share} / 1000000.0D)")
     return f"{_BANDS}, a AS (SELECT loc_id, r{key}, {', '.join(own)} FROM p GROUP BY loc_id, r{key}) SELECT l.loc_id, l.r{f', cast(l.{by} AS int) AS {by}' if by else ''}, {picked} FROM {places} LEFT JOIN a ON {on}"
 
 
