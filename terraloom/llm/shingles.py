@@ -180,7 +180,9 @@ def one_of_each(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     found = near_groups(docs, words=words, similarity=similarity)
     # the first row by (has an id, id, text) names the text that stays for its group
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_kept"))
+    # one key of text and id, so that the join and the choice among rows equal in both need one shuffle of the texts
+    key = lambda node, doc_id: F.concat_ws(":", F.col(node).cast("string"), F.col(doc_id).cast("string"))
+    keep = best.select(key("best.node", "best.doc_id").alias("key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node_of().alias("node"), "doc_id")
-    own = rows.join(keep, (F.col("node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return own.dropDuplicates(["node"]).select("row.*")
+    own = rows.select("row", key("node", "doc_id").alias("key")).join(keep, "key", "left_semi")
+    return own.dropDuplicates(["key"]).select("row.*")
