@@ -6,12 +6,14 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +36,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here drop their shuffle files when they end: what they write is read from then on."""
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def staged(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df below the shared folder and read it back, which cuts its lineage.
+    """Write df below the shared folder and read it back, which cuts its lineage and frees its shuffle files.
 
-    The folder stays as long as results may be read from it; dropping it is up to whoever owns spark.checkpoint.dir.
+    The folder stays until `discard`, or as long as whoever owns spark.checkpoint.dir keeps it.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later query reads."""
+    spark = df.sparkSession
+    folders = {x.rsplit("/", 1)[0] for x in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, *, most: int = 10_000, hot: int = 100_000, how: str = "inner") -> DataFrame:
     """big.join(small, keys, how) where one key may hold any share of big's rows; small has a row for each key at most.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import spread_join
+from terraloom.llm.common import discard, spread_join, staged
 
 ROUNDS = 60
 HOT = 100_000
@@ -14,8 +14,8 @@ HOT = 100_000
 def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of each node of links (a, b), both of one orderable type; root is the component's least node.
 
-    Each step is two shuffles over links; every round is a checkpoint, so no lineage grows and a lost executor
-    costs one round. A hub's links are counted and dealt to many tasks, never gathered in a row.
+    Each step is two shuffles over links; every round is written to the shared folder and the one before is
+    deleted, so no lineage or disk grows and a lost executor costs one round. A hub's links are counted and dealt to many tasks, never gathered in a row.
     """
 
     def linked(edges: DataFrame, per: DataFrame, rows: int) -> DataFrame:
@@ -29,7 +29,7 @@ def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
         out = linked(edges, per, 2 * rows).where(keep).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out, least
 
-    edges = links.select("a", "b").where("a <> b").distinct().checkpoint()
+    edges = staged(links.select("a", "b").where("a <> b").distinct())
     sign, rows = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,7 +37,8 @@ def components(links: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small, least = star(down, F.lit(True))
-        edges = small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
+        last, edges = edges, staged(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == sign:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import spread_join, staged, text_slices, tidied
+from terraloom.llm.common import discard, spread_join, staged, text_slices, tidied
 from terraloom.llm.components import components
 from terraloom.llm.simhash import bits_set, near_links
 
@@ -156,11 +156,13 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMI
     shared = found.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a <> z")
     by_key = spread_join(found, shared.select("k", "a"), ["k"], shared.select("k", "n")).select("a", F.col("node").alias("b"))
     groups = staged(components(by_key.where("a <> b").union(by_print.where("a <> b")).union(near)))
+    discard(found)
     size = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = spread_join(groups, size.select("root", F.ceil(F.col("n") / hot).cast("int").alias("parts")), ["root"], size).withColumnRenamed("parts", "n").join(per.select("node", "least"), "node")
-    # one row of each text in a group, dealt to blocks: block i meets block j in (i, j)
-    members = groups.join(groups.groupBy("root").agg(F.ceil(F.count("*") / hot).cast("int").alias("n")), "root").join(per.select("node", "least"), "node")
-    members = members.select(F.col("node").alias("_node"), "least", "root", "n")
+    parts = size.select("root", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    # one row of each text in a group, dealt to blocks: block i meets block j in (i, j). The table is written, so
+    # that its size is known and a small one meets the texts without a shuffle of them
+    members = spread_join(groups, parts, ["root"], size).join(per.select("node", "least"), "node")
+    members = staged(members.select(F.col("node").alias("_node"), "least", "root", F.col("parts").alias("n")))
     one = texts.join(members, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
     i = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: (F.least(i, j) * F.col("n") + F.greatest(i, j)).cast("long"))

@@ -181,8 +181,10 @@ def near_links(fps: DataFrame, *, bits: int = BITS, hot: int = HOT) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(own[i])], ["k", "fp"])
 
     found = fps.select("fp").mapInArrow(tidied(expand), "k long, fp long")
-    # keys of more than hot fingerprints: one in `hot` of all keys at most, so this side is small beside the other
-    large = found.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("k", F.ceil(F.col("rows") / hot).cast("int").alias("n"))
+    # keys of more than hot fingerprints: one in `hot` of all keys at most, so this side is small beside the other;
+    # written, so that its size is known and few such keys need no shuffle of all keys
+    large = found.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > hot)
+    large = staged(large.select("k", F.ceil(F.col("rows") / hot).cast("int").alias("n")))
     block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     # block i meets block j in the bucket (i, j); a cool bucket is one block
     pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: (F.least(F.col("i"), j) * F.col("n") + F.greatest(F.col("i"), j)).cast("long"))
