@@ -2,7 +2,8 @@
 
 Every id comes from the `tokenizers` library. A slice is cut, by its bytes, where the byte-level pre-tokenizer
 always has a bound: before a run of blanks (space, tab, newline, carriage return) that follows a character which is
-no white space, and before the last blank of a run that such a character follows. The parts can be encoded apart;
+no white space, before the last blank of a run that such a character follows, and between a letter of A-Z or a-z and
+a punctuation mark, as a run of letters ends there. The parts can be encoded apart;
 equal parts of a slice are encoded once, and a worker keeps the short ones that it has encoded. A run that meets a
 character some definition calls white space is not cut behind its start.
 """
@@ -10,20 +11,24 @@ character some definition calls white space is not cut behind its start.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SHORT = 48  # bytes of a part that is kept
+SHORT = 48  # characters of a part that is kept
+MARKS = b".,;:!?)"
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray, heads: bytes = b"") -> np.ndarray:
+def cuts(data: np.ndarray, offsets: np.ndarray, heads: bytes = b"", marks: bytes = MARKS) -> np.ndarray:
     """The places, ascending, at which UTF-8 texts (data[offsets[i]:offsets[i + 1]]) fall into parts; with all offsets.
 
     heads: the bytes that added tokens begin with. Text ends before such a token, so a run before it is one part.
+    marks: punctuation that may follow a letter in no added token.
     """
     n = len(data)
     blank = (data == 32) | (data == 10) | (data == 9) | (data == 13)
@@ -51,7 +56,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray, heads: bytes = b"") -> np.ndarra
     last[-1:] = False
     after = np.zeros(n, bool)  # behind a run whose last blank is no space
     after[1:] = last[:-1] & (data[:-1] != 32)
-    return np.flatnonzero(np.append(start | last | after, False) | first)
+    mark = np.isin(data, np.frombuffer(marks, np.uint8))
+    mark[1:] &= ((data[:-1] | 32) >= 97) & ((data[:-1] | 32) <= 122)
+    mark[:1] = False
+    return np.flatnonzero(np.append(start | last | after | mark, False) | first)
 
 
 def tokenizer_path(name: str) -> str:
@@ -78,35 +86,31 @@ class SliceEncoder:
         self.tok, self.keep = Tokenizer.from_file(path), keep
         self.model = self.tok.model
         self.letters = _byte_letters()
-        self.heads = bytes({t.content.encode()[0] for t in self.tok.get_added_tokens_decoder().values()})
+        self.space = self.letters[32]
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.heads = bytes({t.encode()[0] for t in added})
+        inside = re.compile(f"[A-Za-z][{re.escape(MARKS.decode())}]")
+        self.marks = b"" if any(map(inside.search, added)) else MARKS
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.size, self.flat = array("q"), array("q"), array("I")
-
-    def _add(self, ids: list[int]) -> int:
-        self.start.append(len(self.flat))
-        self.size.append(len(ids))
-        self.flat.extend(ids)
-        return len(self.start) - 1
+        self.size, self.flat = array("q"), array("I")
 
     def _ids(self, part: str) -> list[int]:
-        body = part[1:] if part[:1] == " " else part
-        if body.isalpha():  # one pre-token: the merges alone
+        space = part[:1] == " "
+        if (part[1:] if space else part).isalpha():  # one pre-token: the merges alone
+            if part.isascii():  # of these letters and the space, the space alone has another sign
+                return [t.id for t in self.model.tokenize(self.space + part[1:] if space else part)]
             return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        if body[-1:] in (".", ",") and body[:-1].isalpha():  # two pre-tokens
-            return self._known(part[:-1]) + self._known(body[-1])
         return self.tok.encode(part, add_special_tokens=False).ids
 
-    def _known(self, part: str) -> list[int]:
-        k = self.index.get(part)
-        if k is None:
-            ids = self.tok.encode(part, add_special_tokens=False).ids if len(part) == 1 else self._ids(part)
-            self.index[part] = self._add(ids)
-            return ids
-        at = self.start[k]
-        return list(self.flat[at : at + self.size[k]])
+    def _add(self, ids: list[list[int]]) -> range:
+        """Keep the ids of some parts; their places."""
+        n = len(self.size)
+        self.size.extend(map(len, ids))
+        self.flat.extend(chain.from_iterable(ids))
+        return range(n, len(self.size))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32) and the offsets of each text; null is empty."""
@@ -118,33 +122,27 @@ class SliceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]]
         offs = offs - offs[0]
-        at = cuts(data, offs, self.heads)
+        at = cuts(data, offs, self.heads, self.marks)
         parts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)]).dictionary_encode()
         bounds = np.searchsorted(at, offs)
         index = self.index
         words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = [index.get(w, -1) for w in words]
-        long = []
-        for i, k in enumerate(known):
-            if k < 0:
-                word = words[i]
-                if len(word) > SHORT:
-                    long.append(i)
-                    continue
-                k = index.get(word, -1)
-                if k < 0:
-                    k = index[word] = self._add(self._ids(word))
-                known[i] = k
-        kept = len(self.start), len(self.flat)
-        for i in long:  # long parts are held for this slice alone
-            known[i] = self._add(self.tok.encode(words[i], add_special_tokens=False).ids)
-        used = np.asarray(known, np.int64)[parts.indices.to_numpy(zero_copy_only=False)]
-        start, size, flat = np.array(self.start), np.array(self.size), np.asarray(self.flat)
+        known = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0).tolist()
+        short = [i for i in new if len(words[i]) <= SHORT]
+        known[short] = places = self._add([self._ids(words[i]) for i in short])
+        index.update(zip((words[i] for i in short), places, strict=True))
+        kept = len(self.size), len(self.flat)
+        long = [i for i in new if len(words[i]) > SHORT]  # long parts are held for this slice alone
+        known[long] = self._add([self._ids(words[i]) for i in long])
+        used = known[parts.indices.to_numpy(zero_copy_only=False)]
+        size, flat = np.array(self.size), np.asarray(self.flat)
+        start = np.cumsum(size) - size
         n = size[used]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = flat[np.repeat(start[used] - ends[:-1], n) + np.arange(ends[-1])]
         del flat  # a view, which would keep the array from shrinking
-        del self.start[kept[0] :], self.size[kept[0] :], self.flat[kept[1] :]
+        del self.size[kept[0] :], self.flat[kept[1] :]
         return ids, ends[bounds]
 
 

@@ -43,6 +43,17 @@ def test_slices_encode_like_the_tokenizer():
         assert ids[offs[i] : offs[i + 1]].tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_parts_end_at_punctuation_like_the_tokenizer():
+    import random
+
+    enc, rng = tokens.SliceEncoder(PATH, keep=500), random.Random(3)
+    signs = [*"aZ.,;:!?)'1<|>\" \n\t\x1f\u00e9\u4e2d\u3000", "<|endoftext|>", "'s", "'ll"]
+    for _ in range(4):  # the kept parts go when there are more than 500
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2_000)]
+        ids, offs = enc.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_huffman_round_trip(spark, docs, empty, tmp_path):
     tok = tokens.encoder(PATH).tok
     huffman.write_tokens(docs, f"file://{tmp_path}/t", PATH, 2)
