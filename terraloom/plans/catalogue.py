@@ -131,10 +131,6 @@ SQL: dict[str, str] = {
     "encode_direct": "SELECT loc_id, round(radians(lon) - pi(), 9) + 0.0D AS a, round(radians(lat) - pi(), 9) + 0.0D AS b FROM loc",
     "encode_cartesian": "SELECT loc_id, round(cos(radians(lon)) * cos(radians(lat)), 9) + 0.0D AS x, round(sin(radians(lon)) * cos(radians(lat)), 9) + 0.0D AS y, round(sin(radians(lat)), 9) + 0.0D AS z FROM loc",
     "encode_wrap": "SELECT loc_id, round(cos(radians(lon)), 9) + 0.0D AS a, round(sin(radians(lon)), 9) + 0.0D AS b, round(cos(radians(lat)), 9) + 0.0D AS c, round(sin(radians(lat)), 9) + 0.0D AS d FROM loc",
-    "encode_grid": "SELECT loc_id, f, round(sin(lon * w), 6) + 0.0D AS sx, round(cos(lon * w), 6) + 0.0D AS cx, round(sin(lat * w), 6) + 0.0D AS sy, round(cos(lat * w), 6) + 0.0D AS cy FROM (SELECT loc_id, lat, lon, f, 1.0D / exp(f * ln(360.0D) / 3.0D) AS w FROM (SELECT loc_id, lat, lon, {seq:0;3} AS f FROM loc) a) b",
-    "encode_spherec": "SELECT loc_id, f, round(sin(p * w), 6) + 0.0D AS a, round(cos(p * w) * cos(l * w), 6) + 0.0D AS b, round(cos(p * w) * sin(l * w), 6) + 0.0D AS c FROM (SELECT loc_id, radians(lat) AS p, radians(lon) AS l, f, 1.0D / exp(f * ln(360.0D) / 3.0D) AS w FROM (SELECT loc_id, lat, lon, {seq:0;3} AS f FROM loc) a) b",
-    "encode_theory": "SELECT loc_id, round(sin(lon), 9) + 0.0D AS a, round(cos(lon), 9) + 0.0D AS b, round(sin(-0.5D * lon + 0.8660254037844386D * lat), 9) + 0.0D AS c, round(cos(-0.5D * lon + 0.8660254037844386D * lat), 9) + 0.0D AS d, round(sin(-0.5D * lon - 0.8660254037844386D * lat), 9) + 0.0D AS e, round(cos(-0.5D * lon - 0.8660254037844386D * lat), 9) + 0.0D AS f FROM loc",
-    "encode_harmonics": "SELECT loc_id, round(0.28209479177387814D, 9) + 0.0D AS y00, round(-0.4886025119029199D * sin(t) * sin(p), 9) + 0.0D AS y1m1, round(0.4886025119029199D * cos(t), 9) + 0.0D AS y10, round(-0.4886025119029199D * sin(t) * cos(p), 9) + 0.0D AS y11 FROM (SELECT loc_id, radians(lon + 180.0D) AS p, radians(lat + 90.0D) AS t FROM loc) a",
     # richness
     "tag_counts": "SELECT k, CASE WHEN lower(v) IN ('true', 'yes', '1') THEN 'yes' ELSE v END AS v, count(*) AS n FROM kv GROUP BY k, CASE WHEN lower(v) IN ('true', 'yes', '1') THEN 'yes' ELSE v END",
     "tag_distinct": _KVN + " SELECT cell, count(DISTINCT k) AS n_keys, count(*) AS n_pairs, cast(sum(n) AS bigint) AS n_instances FROM c GROUP BY cell",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraloom.functions import tags
+from terraloom.functions import encodings, tags
 from terraloom.operators import bands, richness, similarity
 from terraloom.sources.views import TAGS, view
 
@@ -103,6 +104,13 @@ def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(similarity.contrastive_loss(rows.select("label", "vec_id", "embedding"), batch=32))
 
 
+def _encoded(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of every location, with four frequencies or degrees."""
+    value = encodings.encoding(name, F.col("lat"), F.col("lon"), count=4, degrees=4)
+    rows = view(spark, sf_dir, "loc").select("loc_id", F.posexplode(value).alias("i", "value"))
+    return rows.select("loc_id", "i", (F.round("value", 6) + 0.0).alias("value"))
+
+
 # SQL twins ------------------------------------------------------------------------------------------------------
 def _values(rows: list[tuple]) -> str:
     cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
@@ -168,7 +176,27 @@ _WHOLE += [f"coalesce(road_{k}, 0.0D) / 1000.0D / {{km2}} AS road_{k}_density" f
 _WHOLE += ["coalesce((" + " + ".join(f"road_{k}" for k in tags.MAJOR) + ") / greatest(" + " + ".join(f"road_{k}" for k in tags.ROADS) + ", 0.001D), 0.0D) AS road_major_ratio"]
 _WHOLE += [f"coalesce(d{m}_{k}, l.r) AS dist_{m}_{k}_m" for m in ("min", "mean") for k in tags.DISTANCES]
 
+_WAVES = "w AS (SELECT k, 1.0D / exp(k * ln(360.0D) / 3.0D) AS f FROM (VALUES (0), (1), (2), (3)) q(k))"
+_ANGLES = f"WITH {_WAVES}, a AS (SELECT loc_id, k, lat, lon, radians(lat) * f AS p, radians(lon) * f AS l, f FROM loc, w)"
+_MIXED = {"": ["cos(p) * cos(l)", "cos(p) * sin(l)"], "m": ["cos(p) * cos(lon)", "cos(lat) * cos(l)", "cos(p) * sin(lon)", "cos(lat) * sin(l)"]}
+_SPHERES = {f"sphere{kind}{plus}": [*(["sin(p)", "cos(p)", "sin(l)", "cos(l)"] if plus else ["sin(p)"]), *_MIXED[kind.strip("c")]] for kind in ("c", "m") for plus in ("", "plus")}
+
+
+def _sphere_sql(terms: list[str]) -> str:
+    values = " UNION ALL ".join(f"SELECT loc_id, k, {t} AS t, {sql} AS v FROM a" for t, sql in enumerate(terms))
+    return f"{_ANGLES} SELECT loc_id, cast({2 * len(terms)} * k + 2 * t + twin AS int) AS i, round(v, 6) + 0.0D AS value FROM ({values}) b, (VALUES (0), (1)) d(twin)"
+
+
+# the real harmonics below degree 4 as polynomials of the unit vector (x, y, z), with the square root's constant apart
+_HARMONICS = ["1 / 4", "3 / 4 @ -y", "3 / 4 @ z", "3 / 4 @ -x", "15 / 4 @ x * y", "15 / 4 @ -y * z", "5 / 16 @ 3 * z * z - 1", "15 / 4 @ -x * z", "15 / 16 @ x * x - y * y",
+              "35 / 32 @ -y * (3 * x * x - y * y)", "105 / 4 @ x * y * z", "21 / 32 @ -y * (5 * z * z - 1)", "7 / 16 @ z * (5 * z * z - 3)", "21 / 32 @ -x * (5 * z * z - 1)", "105 / 16 @ z * (x * x - y * y)", "35 / 32 @ -x * (x * x - 3 * y * y)"]
+_HARMONIC_SQL = " UNION ALL ".join(f"SELECT loc_id, {i} AS i, round(sqrt({c} / pi()) * ({body or 1}), 6) + 0.0D AS value FROM v" for i, (c, _, body) in enumerate(h.partition(" @ ") for h in _HARMONICS))
+
 FRAMES: dict[str, tuple[Query, str]] = {
+    **{f"encode_{n}": (partial(_encoded, n), _sphere_sql(terms)) for n, terms in _SPHERES.items()},
+    "encode_grid": (partial(_encoded, "grid"), f"WITH {_WAVES}, a AS (SELECT loc_id, k, f, c, CASE c WHEN 0 THEN lon ELSE lat END AS x FROM loc, w, (VALUES (0), (1)) q(c)) SELECT loc_id, cast(8 * c + 2 * k AS int) AS i, round(sin(x * f), 6) + 0.0D AS value FROM a UNION ALL SELECT loc_id, cast(8 * c + 2 * k + 1 AS int), round(cos(x * f), 6) + 0.0D FROM a"),
+    "encode_theory": (partial(_encoded, "theory"), f"WITH {_WAVES}, a AS (SELECT loc_id, k, d, f * (cos(radians(120.0D * d)) * lon + sin(radians(120.0D * d)) * lat) AS x FROM loc, w, (VALUES (0), (1), (2)) q(d)) SELECT loc_id, cast(6 * k + 2 * d AS int) AS i, round(sin(x), 6) + 0.0D AS value FROM a UNION ALL SELECT loc_id, cast(6 * k + 2 * d + 1 AS int), round(cos(x), 6) + 0.0D FROM a"),
+    "encode_harmonics": (partial(_encoded, "sphericalharmonics"), f"WITH v AS (SELECT loc_id, sin(radians(lat + 90.0D)) * cos(radians(lon + 180.0D)) AS x, sin(radians(lat + 90.0D)) * sin(radians(lon + 180.0D)) AS y, cos(radians(lat + 90.0D)) AS z FROM loc) {_HARMONIC_SQL}"),
     "descriptions": (descriptions, f"WITH {_LIVE} SELECT feature_id, coalesce(arg_min(replace(t, '{{value}}', replace(lower(trim(v)), '_', ' ')), prio), 'an unclassified feature') AS description FROM feat LEFT JOIN live USING (feature_id) LEFT JOIN (VALUES {_TEMPLATES}) r(rk, t, prio) ON k = rk GROUP BY feature_id"),
     "first_category": (first_category, f"WITH {_LIVE}, {_CATEGORY} SELECT feature_id, category FROM feat LEFT JOIN cat USING (feature_id)"),
     "road_class": (road_class, f"WITH {_ROAD} SELECT feature_id, class FROM road"),
