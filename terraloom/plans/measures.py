@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions import encodings, tags
-from terraloom.operators import bands, richness, similarity
+from terraloom.operators import bands, richness, scoring, similarity
 from terraloom.sources.views import TAGS, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,20 @@ def adaptive_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return richness.first_rich(_metrics(spark, sf_dir))
 
 
+def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations with their box size, the richness measured there, bucket and cell; those without features are left out."""
+    metrics = _metrics(spark, sf_dir)
+    chosen = richness.first_rich(metrics).where("level IS NOT NULL").select("loc_id", "level")
+    cell = F.concat_ws("_", F.floor(F.col("lat") / 10).cast("int").cast("string"), F.floor(F.col("lon") / 10).cast("int").cast("string"))
+    found = metrics.select("loc_id", "level", "size", F.round("richness_score", 9).alias("richness")).join(chosen, ["loc_id", "level"])
+    found = found.join(view(spark, sf_dir, "loc").select("loc_id", cell.alias("cell")), "loc_id")
+    return found.withColumn("bucket", scoring.bucket(F.col("richness")))
+
+
+def select_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.diverse(_accepted(spark, sf_dir), 120, 1, 42, 0.5))
+
+
 def first_level_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return richness.levels_with_data(_metrics(spark, sf_dir))
 
@@ -206,6 +220,15 @@ FRAMES: dict[str, tuple[Query, str]] = {
  SELECT loc_id, level, round(score, 6) + 0.0D AS score FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY round(score, 9) DESC, level) AS k FROM s) WHERE k = 1"""),
     "adaptive_expansion": (adaptive_expansion, f"""{_METRICS}, rich AS (SELECT loc_id, min(level) AS level FROM m WHERE total_nodes >= 5 AND unique_labels >= 3 AND round(richness_score, 9) >= 0.2D GROUP BY loc_id)
  SELECT m.loc_id, CASE WHEN rich.level IS NOT NULL THEN rich.level WHEN total_nodes > 0 THEN 3 END AS level, CASE WHEN rich.level IS NOT NULL THEN [50000.0D, 100000.0D, 200000.0D][rich.level] WHEN total_nodes > 0 THEN 200000.0D END AS size, CASE WHEN rich.level IS NOT NULL THEN 'rich' WHEN total_nodes > 0 THEN 'ceiling' ELSE 'none' END AS accepted FROM m LEFT JOIN rich USING (loc_id) WHERE m.level = 3"""),
+    "select_weighted": (select_weighted, f"""{_METRICS}, rich AS (SELECT loc_id, min(level) AS level FROM m WHERE total_nodes >= 5 AND unique_labels >= 3 AND round(richness_score, 9) >= 0.2D GROUP BY loc_id),
+ acc AS (SELECT m.loc_id, size, round(richness_score, 9) AS richness FROM m LEFT JOIN rich ON m.loc_id = rich.loc_id WHERE m.level = coalesce(rich.level, 3) AND (rich.level IS NOT NULL OR total_nodes > 0)),
+ b AS (SELECT acc.*, md5(concat('42:', cast(acc.loc_id AS varchar))) AS h, concat(cast(cast(floor(lat / 10.0D) AS int) AS varchar), '_', cast(cast(floor(lon / 10.0D) AS int) AS varchar)) AS cell, CASE WHEN richness < 0.2D THEN 'very_low' WHEN richness < 0.4D THEN 'low' WHEN richness < 0.65D THEN 'medium' ELSE 'high' END AS bucket FROM acc JOIN loc ON acc.loc_id = loc.loc_id),
+ c AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.bucket = b.bucket AND o.cell = b.cell AND o.h < b.h)),
+ g AS (SELECT bucket, share, count(loc_id) AS n, min(size) AS low, max(size) AS high FROM (VALUES {_values(list(scoring.quotas(120).items()))}) q(bucket, share) LEFT JOIN c USING (bucket) GROUP BY bucket, share),
+ t AS (SELECT 120 - sum(least(n, share)) AS lack, sum(n - share) FILTER (WHERE n > share) AS spare FROM g),
+ k AS (SELECT g.*, least(n, share) + CASE WHEN n > share AND lack > 0 THEN least(n - share, round_even(lack * 1.0D * (n - share) / spare, 0)) ELSE 0 END AS quota FROM g, t),
+ d AS (SELECT c.*, quota, row_number() OVER (PARTITION BY c.bucket ORDER BY ln(cast(cast(concat('0x', substr(h, 25, 8)) AS bigint) AS double) / 4294967296.0D + 0.0000000001D) / (0.5D * (CASE WHEN high > low THEN (size - low) / (high - low) ELSE 1.0D END) + 0.5D * richness + 0.00000001D) DESC, loc_id) AS pos FROM c JOIN k ON c.bucket = k.bucket)
+ SELECT loc_id, bucket, cell, size, round(richness, 6) + 0.0D AS richness FROM d WHERE pos <= quota"""),
     "first_level_with_data": (first_level_with_data, f"{_METRICS} SELECT a.loc_id, a.level FROM m a WHERE EXISTS (SELECT 1 FROM m b WHERE b.loc_id = a.loc_id AND b.level <= a.level AND b.total_nodes > 0)"),
     "take_while_limit": (take_while_limit, f"{_METRICS} SELECT a.loc_id, a.level FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.loc_id = a.loc_id AND b.level <= a.level AND greatest(b.n_points, b.n_lines, b.n_polygons) > 20)"),
     "band_global": (band_global, _band_sql(None, 1, "1.0D", _WHOLE)),

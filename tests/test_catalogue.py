@@ -48,3 +48,21 @@ def test_locations_without_features_count_zero(spark):
     locations = spark.createDataFrame([(1, 10.0, 20.0)], "loc_id long, lat double, lon double")
     row = scoring.location_counts(features, locations, 500.0).withColumn("r", scoring.proxy_richness()).first()
     assert row.n_points == row.n_amenity == 0 and row.r == 0.0
+
+
+def test_quotas_move_to_buckets_with_more(spark):
+    # shares of 100: 2, 12, 77, 9; medium lacks 57, low has 88 left and high 11: 57 * 88 / 99 = 50.67, 57 * 11 / 99 = 6.33
+    pools = spark.createDataFrame([("low", 100), ("medium", 20), ("high", 20), ("very_low", 2)], "bucket string, n long")
+    assert {r.bucket: r.quota for r in scoring.shifted_quotas(pools, 100).collect()} == {"low": 63, "medium": 20, "high": 15, "very_low": 2}
+    few = spark.createDataFrame([("low", 5)], "bucket string, n long")  # nothing is left anywhere
+    assert [r.quota for r in scoring.shifted_quotas(few, 100).collect()] == [5]
+    assert scoring.shifted_quotas(few.where("n < 0"), 100).count() == 0
+
+
+def test_weighted_choice_of_equal_sizes_and_empty_input(spark):
+    rows = [(i, "low", f"c{i % 50}", 1.0, 0.3) for i in range(200)]
+    scored = spark.createDataFrame(rows, "loc_id long, bucket string, cell string, size double, richness double")
+    got = scoring.diverse(scored, 20, 2, 7, 0.5).collect()
+    assert len(got) == len({r.loc_id for r in got}) == 20
+    assert max(sum(r.cell == c for r in got) for c in {r.cell for r in got}) <= 2
+    assert scoring.diverse(scored.where("loc_id < 0"), 20, 2, 7, 0.5).count() == 0
