@@ -100,14 +100,17 @@ def selected_level(metrics: DataFrame, weights: dict[str, float] | None = None,
     return ranked.where("r = 1").select("loc_id", "level", "score")
 
 
-def first_rich(metrics: DataFrame, *, nodes: int = 5, labels: int = 3, score: float | None = 0.2) -> DataFrame:
-    """(loc_id, level, size, accepted): the least level that is rich enough; else the largest if it holds anything; else none."""
+def first_rich(metrics: DataFrame, *, nodes: int = 5, labels: int = 3, score: float | None = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(loc_id, level, size, accepted): the least level that is rich enough; else the largest if it holds anything; else none.
+
+    keep: more metrics of that level.
+    """
     rich = (F.col("total_nodes") >= nodes) & (F.col("unique_labels") >= labels) & (F.lit(True) if score is None else F.round("richness_score", 9) >= score)
-    per = metrics.groupBy("loc_id").agg(
-        F.min(F.when(rich, F.struct("level", "size"))).alias("rich"), F.max(F.struct("level", "size", "total_nodes")).alias("last"),
-    )
-    pick = lambda c: F.coalesce(F.col(f"rich.{c}"), F.when(F.col("last.total_nodes") > 0, F.col(f"last.{c}"))).alias(c)
-    return per.select("loc_id", pick("level"), pick("size"), F.when(F.col("rich").isNotNull(), "rich").when(F.col("last.total_nodes") > 0, "ceiling").otherwise("none").alias("accepted"))
+    own = ("level", "size", *keep)
+    per = metrics.groupBy("loc_id").agg(F.min(F.when(rich, F.struct(*own))).alias("rich"), F.max(F.struct("level", "size", F.col("total_nodes").alias("nodes"), *keep)).alias("last"))
+    held = F.col("last.nodes") > 0
+    pick = lambda c: F.coalesce(F.col(f"rich.{c}"), F.when(held, F.col(f"last.{c}"))).alias(c)
+    return per.select("loc_id", *map(pick, own), F.when(F.col("rich").isNotNull(), "rich").when(held, "ceiling").otherwise("none").alias("accepted"))
 
 
 def levels_with_data(metrics: DataFrame) -> DataFrame:

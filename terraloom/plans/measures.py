@@ -60,10 +60,8 @@ def adaptive_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations with their box size, the richness measured there, bucket and cell; those without features are left out."""
-    metrics = _metrics(spark, sf_dir)
-    chosen = richness.first_rich(metrics).where("level IS NOT NULL").select("loc_id", "level")
     cell = F.concat_ws("_", F.floor(F.col("lat") / 10).cast("int").cast("string"), F.floor(F.col("lon") / 10).cast("int").cast("string"))
-    found = metrics.select("loc_id", "level", "size", F.round("richness_score", 9).alias("richness")).join(chosen, ["loc_id", "level"])
+    found = richness.first_rich(_metrics(spark, sf_dir), keep=("richness_score",)).where("level IS NOT NULL").select("loc_id", "size", F.round("richness_score", 9).alias("richness"))
     found = found.join(view(spark, sf_dir, "loc").select("loc_id", cell.alias("cell")), "loc_id")
     return found.withColumn("bucket", scoring.bucket(F.col("richness")))
 
