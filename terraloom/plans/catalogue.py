@@ -68,9 +68,7 @@ def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = view(spark, sf_dir, "box")
-    corners = boxes.select(F.col("box_id").alias("corner_of"), F.col("xmin").alias("px"), F.col("ymin").alias("py"))
-    return spatial.points_in_boxes(corners, boxes, 16.0).where("corner_of <> box_id").groupBy("box_id").agg(F.count("*").alias("n"))
+    return spatial.corners_in_boxes(view(spark, sf_dir, "box"), 16.0)
 
 
 def hash_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
