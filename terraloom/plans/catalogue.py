@@ -62,9 +62,7 @@ def select_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.touching_boxes(view(spark, sf_dir, "box"), 16.0).withColumn("rel", spatial.box_relation())
-    back = F.when(F.col("rel") == 5, 4).when(F.col("rel") == 4, 5).otherwise(F.col("rel"))
-    return pairs.select(F.col("a_box_id").alias("src"), F.col("b_box_id").alias("dst"), "rel").union(pairs.select("b_box_id", "a_box_id", back))
+    return spatial.related_boxes(view(spark, sf_dir, "box"), 16.0)
 
 
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
