@@ -65,6 +65,12 @@ def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.related_boxes(view(spark, sf_dir, "box"), 16.0)
 
 
+def relation_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spatial.related_boxes(view(spark, sf_dir, "box"), 16.0).where("src < dst AND rel NOT IN (1, 7)")
+    kinds = {"touches": 2, "overlaps": 3, "covered": 4, "covers": 5}
+    return pairs.select("src", "dst", *[F.when(F.col("rel") == code, 1.0).otherwise(0.0).alias(n) for n, code in kinds.items()])
+
+
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.corners_in_boxes(view(spark, sf_dir, "box"), 16.0)
 
@@ -164,8 +170,12 @@ def _plain(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(spark_sql(sql.replace(_JOINED, _TILED).replace(_PAIRS, _TILED_PAIRS), sf_dir))
 
 
+#: Spark's side of texts above that a DataFrame program answers
+PROGRAMS: dict[str, Query] = {"relation_one_hot": relation_one_hot}
+
+
 def queries() -> dict[str, Query]:
-    return {n: q for n, (q, _) in (FRAMES | measures.FRAMES).items()} | {n: partial(_plain, s) for n, s in SQL.items()}
+    return {n: q for n, (q, _) in (FRAMES | measures.FRAMES).items()} | {n: partial(_plain, s) for n, s in SQL.items()} | PROGRAMS
 
 
 def oracles() -> dict[str, str]:
