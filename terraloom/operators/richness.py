@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.tags import CATEGORIES
+from terraloom.operators.ranges import counts_in_boxes
 from terraloom.operators.spatial import mercator, points_in_boxes
 from terraloom.sources.views import TAGS
 
@@ -42,6 +43,17 @@ def levelled(features: DataFrame, locations: DataFrame, sizes: tuple[float, ...]
     return near.withColumn("l", F.explode(F.filter(levels, lambda v: v["size"] >= F.col("m")))).select("loc_id", "l.level", "l.size", "feature_id", "geom_type", "lat", "lon", *TAGS)
 
 
+def level_counts(features: DataFrame, locations: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
+    """(loc_id, level, size, n_points, n_lines, n_polygons, total_nodes), those columns of level_metrics, without the pairs."""
+    fx, fy = mercator(F.col("lat"), F.col("lon"))
+    x, y = mercator(F.col("lat"), F.col("lon"))
+    kinds = {f"n_{k}s": F.col("geom_type") == k for k in ("point", "line", "polygon")}
+    found = counts_in_boxes(features.withColumn("px", fx).withColumn("py", fy), locations.select("loc_id", x.alias("cx"), y.alias("cy")), tuple(sorted(sizes)), kinds, nested=True)
+    level = lambda i, s: F.struct(F.lit(i + 1).alias("level"), F.lit(float(s)).alias("size"), *[F.coalesce(f"{k}_{i}", F.lit(0)).alias(k) for k in kinds])
+    out = locations.select("loc_id").join(found, "loc_id", "left").select("loc_id", F.inline(F.array(*[level(i, s) for i, s in enumerate(sorted(sizes))])))
+    return out.withColumn("total_nodes", sum((F.col(k) for k in kinds), F.lit(0)))
+
+
 def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
     """The richness measures of each location and level, zero where nothing lies; frequencies: (k, freq) of tag keys."""
     inside = levelled(features, locations, sizes)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.operators.spatial import mercator, points_in_boxes
+from terraloom.operators.ranges import counts_in_boxes
+from terraloom.operators.spatial import mercator
 
 # fixed values: the tags that are counted, on features of one geometry type each
 COUNTED = {"point": ("amenity", "shop", "leisure", "tourism", "historic", "natural"), "line": ("highway", "waterway", "railway"), "polygon": ("building", "landuse")}
@@ -18,18 +19,24 @@ BUCKETS = (("very_low", 0.20, 0.02), ("low", 0.40, 0.12), ("medium", 0.65, 0.77)
 
 
 def location_counts(features: DataFrame, locations: DataFrame, half: float) -> DataFrame:
-    """Per location COUNTERS over the features within `half` Mercator metres in x and y, 0 where none.
+    """Per location COUNTERS over the features within `half` Mercator metres in x and y, 0 where none."""
+    fx, fy = mercator(F.col("lat"), F.col("lon"))
+    x, y = mercator(F.col("lat"), F.col("lon"))
+    kinds = {}
+    for kind, own in COUNTED.items():
+        kinds |= {f"n_{kind}s": F.col("geom_type") == kind} | {f"n_{t}": (F.col("geom_type") == kind) & F.col(t).isNotNull() for t in own}
+    points = features.withColumn("px", fx).withColumn("py", fy)
+    found = counts_in_boxes(points, locations.select("loc_id", x.alias("cx"), y.alias("cy")), (half,), kinds)
+    return locations.join(found, "loc_id", "left").select("loc_id", "lat", "lon", *[F.coalesce(f"{n}_0", F.lit(0)).alias(n) for n in COUNTERS])
 
-    Features are counted by place and tags before the join, so many at one place are one row there.
-    """
+
+def feature_density(features: DataFrame, locations: DataFrame, half: float) -> DataFrame:
+    """(loc_id, density): features a square kilometre of the box of half size `half` Mercator metres."""
     fx, fy = mercator(F.col("lat"), F.col("lon"))
-    tagged = [(F.col(t).isNotNull() & (F.col("geom_type") == kind)).alias(t) for kind, own in COUNTED.items() for t in own]
-    points = features.select("geom_type", fx.alias("px"), fy.alias("py"), *tagged).groupBy("geom_type", "px", "py").agg(F.count("*").alias("n"), *[F.count_if(t).alias(t) for t in TAGS])
     x, y = mercator(F.col("lat"), F.col("lon"))
-    boxes = locations.select("loc_id", (x - half).alias("xmin"), (y - half).alias("ymin"), (x + half).alias("xmax"), (y + half).alias("ymax"))
-    sums = [F.sum(F.when(F.col("geom_type") == k, F.col("n")).otherwise(0)).alias(f"n_{k}s") for k in COUNTED]
-    found = points_in_boxes(points, boxes, 2 * half).groupBy("loc_id").agg(*sums, *[F.sum(t).alias(f"n_{t}") for t in TAGS])
-    return locations.join(found, "loc_id", "left").select("loc_id", "lat", "lon", *[F.coalesce(n, F.lit(0)).alias(n) for n in COUNTERS])
+    found = counts_in_boxes(features.withColumn("px", fx).withColumn("py", fy), locations.select("loc_id", x.alias("cx"), y.alias("cy")), (half,), {"n": F.lit(True)})
+    side = 2.0 * half / 1000.0
+    return locations.select("loc_id").join(found, "loc_id", "left").select("loc_id", (F.coalesce("n_0", F.lit(0)) / (side * side)).alias("density"))
 
 
 def proxy_richness() -> Column:
