@@ -71,11 +71,11 @@ def select_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_level_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return richness.levels_with_data(_metrics(spark, sf_dir))
+    return richness.levels_with_data(richness.level_counts(*_views(spark, sf_dir, "feat", "loc"), SIZES))
 
 
 def take_while_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return richness.levels_within(_metrics(spark, sf_dir), 20)
+    return richness.levels_within(richness.level_counts(*_views(spark, sf_dir, "feat", "loc"), SIZES), 20)
 
 
 def _bands(spark: SparkSession, sf_dir: str, by: str | None, bins: int) -> DataFrame:
