@@ -471,3 +471,15 @@ def test_pipeline_stages_against_brute_force(spark):
     kept = lambda stage: sorted(r.n_chars for r in stage(spark, docs, sf_dir).collect())
     assert kept(p.near_dedup) in ([1, 2, 3, 4, 6], [1, 2, 3, 4, 7])  # the bare leak is a near copy of the longer row; of the texts without words one stays
     assert kept(p.decontamination) == [1, 2, 4, 6, 7]
+
+
+def test_toxicity_is_learnt_in_a_task_not_in_the_driver(spark, monkeypatch):
+    # the sample and its arrays took about 300 MB beside the driver's JVM
+    rows = [(i, "river idiotic garden" if i % 2 else "river stone garden", i % 2) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learnt = toxicity.train([(t, y) for _, t, y in sorted(rows)])
+    monkeypatch.setattr(toxicity, "train", lambda rows, **_: None)
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert set(model.weights) == set(learnt.weights) and any("idiot" in w for w in model.weights)
+    monkeypatch.undo()
+    assert toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic").where("toxic > 1")).weights == {}
