@@ -38,3 +38,26 @@ def test_boxes_across_tiles_and_places_named_twice(spark):
     for i in range(40):
         assert got.get(i, 0) == inside[2 * i] + inside[2 * i + 1]
     assert not got.get(99)
+
+
+@pytest.mark.parametrize("seed,n,spread", [(0, 700, 4.0), (1, 3000, 6.0), (2, 1, 1.0), (3, 0, 1.0), (4, 2000, 1.0)])
+def test_sums_in_disks_and_sectors_are_those_of_all_pairs(seed, n, spread):
+    from terraloom.operators import disks
+
+    rng, radius = np.random.default_rng(seed), 6378137.0
+    lat, lon, alat, alon = (np.round(mid + rng.uniform(-spread, spread, m), 2) for m, mid in ((n, 50.0), (n, 7.0), (150, 50.0), (150, 7.0)))
+    px, py, cx, cy = np.radians(lon) * radius, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * radius, np.radians(alon) * radius, np.log(np.tan(np.pi / 4 + np.radians(alat) / 2)) * radius
+    weights = rng.integers(0, 9, (n, 2)).astype(np.int64)
+    dx, dy = px - cx[:, None], py - cy[:, None]
+    d = np.sqrt(dx * dx + dy * dy)
+    a, b, dl = np.radians(alat)[:, None], np.radians(lat), np.radians(lon - alon[:, None])
+    bearing = np.degrees(np.arctan2(np.sin(dl) * np.cos(b), np.cos(a) * np.sin(b) - np.sin(a) * np.cos(b) * np.cos(dl)))
+    sector = ((bearing + 45) % 360 // 90).astype(int)
+    limits = ((25_000.0, True), (50_000.0, False), (200_000.0, False))
+    plain = disks.sums_in_disks(px, py, weights, cx, cy, limits)
+    cut = disks.sums_in_disks(px, py, weights, cx, cy, limits, (lat, lon), (alat, alon))
+    for i, (r, open_) in enumerate(limits):
+        inside = (d < r) if open_ else (d <= r)
+        assert (plain[:, i, 0] == inside.astype(np.int64) @ weights).all()
+        for s in range(4):
+            assert (cut[:, i, s] == (inside & (sector == s)).astype(np.int64) @ weights).all()
