@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.tags import CATEGORIES
-from terraloom.operators.ranges import counts_in_boxes
+from terraloom.operators import surroundings
+from terraloom.operators.ranges import by_tile, counts_in_boxes
 from terraloom.operators.spatial import mercator, points_in_boxes
 from terraloom.sources.views import TAGS
 
@@ -54,11 +57,89 @@ def level_counts(features: DataFrame, locations: DataFrame, sizes: tuple[float,
     return out.withColumn("total_nodes", sum((F.col(k) for k in kinds), F.lit(0)))
 
 
-def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
-    """The richness measures of each location and level, zero where nothing lies; frequencies: (k, freq) of tag keys."""
+def normal(value: Column) -> Column:
+    """The value of a tag, that of any true one "yes"."""
+    return F.when(F.lower(value).isin(*TRUE), "yes").otherwise(value)
+
+
+def _tags_of(text: str) -> list[tuple[int, str]]:
+    """Numbers of keys and normal values, from the text that `_measured` makes of them."""
+    out, at = [], 0
+    while at < len(text):
+        key, size, _ = text[at:].split(":", 2)
+        at += len(key) + len(size) + 2
+        out.append((int(key), text[at : at + int(size)]))
+        at += int(size)
+    return out
+
+
+def _category_of(key: int, value: str) -> int:
+    """The place of a tag's category, -1 without one; as category_of_tag."""
+    for i, rules in enumerate(CATEGORIES.values()):
+        if any(k == TAGS[key] and (allowed is None or value in allowed) for k, allowed in rules):
+            return i
+    return -1
+
+
+_KINDS = ("point", "line", "polygon")
+_MEASURED = (*(f"n_{k}s" for k in _KINDS), "total_kv_instances", "unique_labels", "cells", "pairs", "keys", "categories", "entropy")
+
+
+def _in_tile(near: pa.Table, here: pa.Table, sizes: tuple[float, ...], labels: bool) -> np.ndarray:
+    """(places, sizes, _MEASURED) of the places of one tile and the points around."""
+    out = np.zeros((len(sizes) * len(here), len(_MEASURED)))
+    if len(near) and len(here):
+        px, py, lat, lon, kind, cx, cy = (t[c].to_numpy() for t, c in ((near, "px"), (near, "py"), (near, "lat"), (near, "lon"), (near, "kind"), (here, "cx"), (here, "cy")))
+        coded = near["tags"].combine_chunks().dictionary_encode()
+        sets, code = [_tags_of(x) for x in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
+        known = list(dict.fromkeys(t for s in sets for t in s))
+        number = {t: i for i, t in enumerate(known)}
+        names = [";".join(TAGS[k] if v == "yes" else f"{TAGS[k]}:{v}" for k, v in s) for s in sets]
+        label_number = {x: i for i, x in enumerate(dict.fromkeys(x for x in names if x))}
+        boxes = surroundings.Boxes(px, py, cx, cy, sizes)
+        pack, count = surroundings.Packed(len(px), len(TAGS)), np.array([len(s) for s in sets], np.int64)
+        words = pack.put(len(px), np.arange(len(px)), np.full(len(px), 3), 5, count[code]) + pack.put(len(px), np.arange(len(px)), np.full(len(px), 4), 5, (count > 0)[code].astype(np.int64))
+        words += pack.put(len(px), at := np.flatnonzero(kind >= 0), kind[at].astype(np.int64), 5)
+        got = boxes.sums(words)
+        for i in range(4):
+            out[:, i] = pack.take(got, i)
+        if labels:
+            label = np.array([label_number.get(x, -1) for x in names], np.int64)[code]
+            out[:, 4] = pack.take(got, 4) - surroundings.repeated_labels(boxes, label, cx, cy, [round(max(sizes) / s) for s in sizes])
+        out[:, 5] = surroundings.occupied(boxes, lon, lat, GRID)
+        per = surroundings.tag_sums(boxes, code, [[number[t] for t in s] for s in sets], np.array([k for k, _ in known], np.int64), np.array([_category_of(k, v) for k, v in known], np.int64), out[:, 3])
+        for i, name in enumerate(("pairs", "keys", "categories", "entropy"), 6):
+            out[:, i] = per[name]
+    return out.reshape(len(sizes), len(here), len(_MEASURED)).swapaxes(0, 1)
+
+
+def _measured(features: DataFrame, locations: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
+    """(loc_id, m): _MEASURED of each size, ascending, one after another; of locations with coordinates."""
+    fx, fy = mercator(F.col("lat"), F.col("lon"))
+    kind = F.lit(-1)
+    for i, k in enumerate(_KINDS):
+        kind = F.when(F.col("geom_type") == k, i).otherwise(kind)
+    # a tag is its key's number, its value's length and its value
+    tags = F.concat(*[F.coalesce(F.concat(F.lit(f"{i}:"), F.length(normal(F.col(t))).cast("string"), F.lit(":"), normal(F.col(t))), F.lit("")) for i, t in enumerate(TAGS)])
+    points = features.select("lat", "lon", fx.alias("px"), fy.alias("py"), kind.cast("byte").alias("kind"), tags.alias("tags"))
+    x, y = mercator(F.col("lat"), F.col("lon"))
+
+    def work(near: pa.Table, here: pa.Table) -> list[pa.Array]:
+        got = _in_tile(near, here, tuple(sorted(sizes)), labels)
+        width = len(sizes) * len(_MEASURED)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * width), pa.array(got.reshape(-1)))]
+
+    return by_tile(points, locations.select("loc_id", x.alias("cx"), y.alias("cy")), max(sizes), work, "m array<double>")
+
+
+def _every_level(locations: DataFrame, sizes: tuple[float, ...], *keep: str) -> DataFrame:
+    return locations.select("loc_id", *keep, F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(s)).alias("size")) for i, s in enumerate(sorted(sizes), 1)])).alias("l")).select("loc_id", *keep, "l.level", "l.size")
+
+
+def _by_pairs(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
+    """(loc_id, level, size, counted measures) from every pair; boxes of one loc_id are measured together."""
     inside = levelled(features, locations, sizes)
     own = Window.partitionBy("loc_id", "level")
-    value = lambda t: F.when(F.lower(F.col(t)).isin(*TRUE), "yes").otherwise(F.col(t))
     label = F.concat_ws(";", *[F.when(F.lower(F.col(t)).isin(*TRUE), F.lit(t)).otherwise(F.concat(F.lit(f"{t}:"), F.col(t))) for t in TAGS])
     west, east, south, north = F.min("lon").over(own), F.max("lon").over(own), F.min("lat").over(own), F.max("lat").over(own)
 
@@ -68,13 +149,11 @@ def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFr
     placed = inside.withColumn("w", west).withColumn("e", east).withColumn("s", south).withColumn("n", north)
     wide = (F.col("e") - F.col("w") >= 1e-9) & (F.col("n") - F.col("s") >= 1e-9)
     placed = placed.withColumn("cell", F.when(wide, cell(F.col("lon"), F.col("w"), F.col("e")) * GRID + cell(F.col("lat"), F.col("s"), F.col("n"))))
-    kinds = {k: F.count_if(F.col("geom_type") == k) for k in ("point", "line", "polygon")}
-    shape = placed.groupBy("loc_id", "level").agg(*[c.alias(f"n_{k}s") for k, c in kinds.items()], F.size(F.collect_set(F.when(label != "", label))).alias("unique_labels"), (F.size(F.collect_set("cell")) / float(GRID * GRID)).alias("spatial_coverage"))
-    tags = inside.select("loc_id", "level", F.explode(F.array(*[F.struct(F.lit(t).alias("k"), value(t).alias("v")) for t in TAGS])).alias("t")).where("t.v IS NOT NULL")
-    per_tag = tags.groupBy("loc_id", "level", "t.k", "t.v").agg(F.count("*").alias("n"))
-    top = frequencies.agg(F.max("freq").alias("top"))  # one row
-    idf = frequencies.crossJoin(F.broadcast(top)).select("k", F.log(F.col("top") / F.col("freq") + 1).alias("idf"))  # a row for each key of the schema
-    per_tag = per_tag.join(F.broadcast(idf), "k", "left").withColumn("category", category_of_tag(F.col("k"), F.col("v")))
+    told = [F.size(F.collect_set(F.when(label != "", label))).alias("unique_labels")] if labels else []
+    shape = placed.groupBy("loc_id", "level").agg(*[F.count_if(F.col("geom_type") == k).alias(f"n_{k}s") for k in _KINDS], *told, (F.size(F.collect_set("cell")) / float(GRID * GRID)).alias("spatial_coverage"))
+    tags = inside.select("loc_id", "level", F.explode(F.array(*[F.struct(F.lit(t).alias("k"), normal(F.col(t)).alias("v")) for t in TAGS])).alias("t")).where("t.v IS NOT NULL")
+    per_tag = tags.groupBy("loc_id", "level", "t.k", "t.v").agg(F.count("*").alias("n")).crossJoin(F.broadcast(idf))  # one row
+    per_tag = per_tag.withColumn("idf", F.coalesce(*[F.when(F.col("k") == t, F.col(f"_idf_{i}")) for i, t in enumerate(TAGS)])).withColumn("category", category_of_tag(F.col("k"), F.col("v")))
     kv = per_tag.groupBy("loc_id", "level").agg(F.collect_list(F.col("n").cast("double")).alias("counts"), F.collect_set(F.struct("k", "idf")).alias("keys"), F.size(F.collect_set("category")).alias("n_categories"))
     total = _total(F.col("counts"), lambda x: x)
     kv = kv.select(
@@ -82,11 +161,38 @@ def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFr
         F.when(F.size("counts") <= 1, 0.0).otherwise(-_total(F.col("counts"), lambda x: x / total * F.log(x / total + 1e-12))).alias("tag_entropy"),
         (_total(F.col("keys"), lambda x: F.coalesce(x["idf"], F.lit(0.0))) / F.greatest(F.size("keys"), F.lit(1))).alias("idf_score"),
     )
-    every = locations.select("loc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(s)).alias("size")) for i, s in enumerate(sorted(sizes), 1)])).alias("l")).select("loc_id", "l.level", "l.size")
-    out = every.join(shape, ["loc_id", "level"], "left").join(kv, ["loc_id", "level"], "left").fillna(0)
+    return _every_level(locations, sizes).join(shape, ["loc_id", "level"], "left").join(kv, ["loc_id", "level"], "left").fillna(0)
+
+
+def _by_tiles(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
+    """What _by_pairs gives where each loc_id is there once, without the pairs."""
+    at = lambda name: F.coalesce(F.get("m", (F.col("level") - 1) * len(_MEASURED) + _MEASURED.index(name)), F.lit(0.0)).cast("double" if name == "entropy" else "long").alias(name)
+    out = _every_level(locations.join(_measured(features, locations, sizes, labels), "loc_id", "left"), sizes, "m").select("loc_id", "level", "size", *map(at, _MEASURED))
+    held = [F.col("keys").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i in range(len(TAGS))]
+    idf_sum = sum((F.when(h, F.coalesce(f"_idf_{i}", F.lit(0.0))).otherwise(0.0) for i, h in enumerate(held)), F.lit(0.0))
+    return out.crossJoin(F.broadcast(idf)).select(  # one row
+        "loc_id", "level", "size", *[f"n_{k}s" for k in _KINDS], *([F.col("unique_labels").cast("int").alias("unique_labels")] if labels else []), (F.col("cells") / float(GRID * GRID)).alias("spatial_coverage"),
+        F.col("pairs").cast("int").alias("unique_kv_pairs"), F.bit_count("keys").alias("unique_keys"), "total_kv_instances", (F.bit_count("categories") / 10.0).alias("category_coverage"), F.col("entropy").alias("tag_entropy"),
+        (idf_sum / F.greatest(F.bit_count("keys"), F.lit(1))).alias("idf_score"),
+    )
+
+
+def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...], *, labels: bool = True) -> DataFrame:
+    """The richness measures of each location and level, zero where nothing lies; frequencies: (k, freq) of tag keys.
+
+    labels: whether unique_labels is among them. Features and locations meet in pairs only where a loc_id is there more than once.
+    """
+    top = F.max("freq").over(Window.partitionBy())  # over a row for each key of the schema
+    idf = frequencies.select("k", F.log(top / F.col("freq") + 1).alias("idf")).agg(*[F.max(F.when(F.col("k") == t, F.col("idf"))).alias(f"_idf_{i}") for i, t in enumerate(TAGS)])
+    again = locations.groupBy("loc_id").agg(F.count("*").alias("n")).where("n > 1").select("loc_id")
+    if again.isEmpty():  # asked first, as features would be shuffled once more for no location
+        out = _by_tiles(features, locations, idf, sizes, labels)
+    else:
+        out = _by_tiles(features, locations.join(again, "loc_id", "left_anti"), idf, sizes, labels)
+        out = out.unionByName(_by_pairs(features, locations.join(again, "loc_id", "left_semi"), idf, sizes, labels))
     nodes = F.col("n_points") + F.col("n_lines") + F.col("n_polygons")
     share = lambda c: F.when(F.col(c) > 0, F.col(c) / nodes * F.log(F.col(c) / nodes)).otherwise(0.0)
-    some = F.greatest(*[F.col(f"n_{k}s") for k in kinds])
+    some = F.greatest(*[F.col(f"n_{k}s") for k in _KINDS])
     out = out.withColumn("total_nodes", nodes).withColumn("geometry_entropy", F.when((nodes == 0) | (some == nodes), 0.0).otherwise(-(share("n_points") + share("n_lines") + share("n_polygons"))))
     out = out.withColumn("feature_density", nodes / ((2 * F.col("size") / 1000.0) * (2 * F.col("size") / 1000.0))).withColumn("semantic_depth", F.when(nodes > 0, F.col("total_kv_instances") / nodes).otherwise(0.0))
     return out.withColumn("richness_score", composite())
