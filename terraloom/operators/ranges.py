@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,23 +52,52 @@ def between(values: np.ndarray, centre: np.ndarray, size: float, largest: float)
     return np.searchsorted(values, centre - size, "left"), np.searchsorted(values, centre + size, "right")
 
 
+class Packed:
+    """Columns of small numbers as fields of 64-bit words; sums over all points fit a field."""
+
+    def __init__(self, points: int, most: int = 1) -> None:
+        self.bits = max(1, (points * most).bit_length())
+        self.per = max(1, 63 // self.bits)
+
+    def words(self, columns: int) -> int:
+        return -(-columns // self.per)
+
+    def put(self, rows: int, at: np.ndarray, column: np.ndarray, columns: int, value: np.ndarray | int = 1) -> np.ndarray:
+        """(rows, words) with value added in the fields (at, column)."""
+        out = np.zeros((rows, self.words(columns)), np.int64)
+        np.add.at(out, (at, column // self.per), np.int64(value) << (self.bits * (column % self.per)))
+        return out
+
+    def marks(self, flags: np.ndarray, columns: int) -> np.ndarray:
+        """(words, rows) with the bits of flags as fields."""
+        out = np.zeros((self.words(columns), len(flags)), np.int64)
+        for c in range(columns):
+            out[c // self.per] += (flags >> c & 1) << (self.bits * (c % self.per))
+        return out
+
+    def take(self, words: np.ndarray, column: int) -> np.ndarray:
+        return (words[:, column // self.per] >> (self.bits * (column % self.per))) & ((1 << self.bits) - 1)
+
+
 def sums_in_ranges(row: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Per query the sums of weights (n, k) over places left to right (without it) whose row is less than below."""
-    out = np.zeros((len(left), weights.shape[1]), weights.dtype)
-    sums = np.zeros((len(row) + 1, weights.shape[1]), weights.dtype)
+    """(k, queries): sums of weights (k, n) over places left to right (without it) whose row is less than below."""
+    out = np.zeros((len(weights), len(left)), weights.dtype)
+    sums = np.zeros(len(row) + 1, weights.dtype)
     for bit in range(max(int(row.max(initial=0)) + 1, int(below.max(initial=0))).bit_length() - 1, -1, -1):
         zero = (row >> bit) & 1 == 0
         before = np.concatenate([[0], np.cumsum(zero)])
+        ones = before[-1]
         order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
-        row, weights = row[order], weights[order]
-        np.cumsum(weights, axis=0, out=sums[1:])
+        row = row[order]
         zl, zr = before[left], before[right]
-        take = np.flatnonzero((below >> bit) & 1)
-        out[take] += sums[zr[take]] - sums[zl[take]]
-        ones = before[-1]
-        left[take], right[take] = ones + left[take] - zl[take], ones + right[take] - zr[take]
-        skip = np.flatnonzero((below >> bit) & 1 == 0)
-        left[skip], right[skip] = zl[skip], zr[skip]
+        up = (below >> bit) & 1 == 1
+        take = np.flatnonzero(up)
+        first, last = zl[take], zr[take]
+        weights = weights.take(order, axis=1)  # a column after another stays in the processor's cache
+        for own, found in zip(weights, out, strict=True):
+            np.cumsum(own[:ones], out=sums[1 : ones + 1])
+            found[take] += sums[last] - sums[first]
+        left, right = np.where(up, ones + left - zl, zl), np.where(up, ones + right - zr, zr)
     return out
 
 
@@ -87,30 +117,38 @@ def sums_in_boxes(px: np.ndarray, py: np.ndarray, weights: np.ndarray, cx: np.nd
         corners.append((start[x0], start[np.maximum(x0, x1)], y0, np.maximum(y0, y1)))
     left, right = (np.concatenate([c[i] for c in corners for _ in (0, 1)]) for i in (0, 1))
     below = np.concatenate([c[i] for c in corners for i in (2, 3)])
-    got = sums_in_ranges(row, weights[order], left, right, below).reshape(len(sizes), 2, len(cx), k)
+    got = sums_in_ranges(row, weights.T.take(order, axis=1), left, right, below).reshape(k, len(sizes), 2, len(cx))
     for i in range(len(sizes)):
-        out[:, i * k : (i + 1) * k] = got[i, 1] - got[i, 0]
+        out[:, i * k : (i + 1) * k] = (got[:, i, 1] - got[:, i, 0]).T
     return out
 
 
-def by_tile(points: DataFrame, places: DataFrame, half: float, work: Callable[[pa.Table, pa.Table], list[pa.Array]], columns: str) -> DataFrame:
-    """loc_id and `columns` of each of places (loc_id, cx, cy, ...): work has the points (px, py, ...) that it may reach in x and y, and the places of a tile."""
+def by_tile(points: DataFrame, places: DataFrame, half: float, work: Callable[[pa.Table, pa.Table], list[pa.Array]], columns: str, along: tuple[str, str] = ("px", "cx"), leave: tuple[str, ...] = ()) -> DataFrame:
+    """loc_id and `columns` of each of places (loc_id, cx, cy, ...): work has the points (px, py, ...) that it may reach in x and y, and the places of a tile.
+
+    Both come to it in the order of the columns `along`; it doesn't get those to leave out, which aren't shuffled.
+    """
     size, pad = WIDTH * half, half + REACH
     c = F.col
-    known = points.where("px IS NOT NULL AND py IS NOT NULL AND NOT isnan(px) AND NOT isnan(py)")
+    # null or NaN, said so that Spark infers no filter of what the points are made of: their shuffle can serve other uses
+    known = points.where("NOT isnan(coalesce(px, double('NaN'))) AND NOT isnan(coalesce(py, double('NaN')))")
     spread = known.withColumns({"_x0": c("px") - pad, "_x1": c("px") + pad, "_y0": c("py") - pad, "_y1": c("py") + pad})
-    spread = tiles(spread, "_x0", "_y0", "_x1", "_y1", size).drop("_x0", "_x1", "_y0", "_y1")
+    tile = F.shiftleft(c("tx"), 32) + c("ty")  # one number, which is sorted without comparing rows
+    spread = tiles(spread, "_x0", "_y0", "_x1", "_y1", size).select(*[x for x in points.columns if x not in leave], tile.alias("tile"))
     own = places.where("cx IS NOT NULL AND cy IS NOT NULL AND NOT isnan(cx) AND NOT isnan(cy)").withColumn("tx", F.floor(c("cx") / size)).withColumn("ty", F.floor(c("cy") / size))
+    own = own.select(*[x for x in places.columns if x not in leave], tile.alias("tile"))
     schema = f"loc_id {places.schema['loc_id'].dataType.simpleString()}, {columns}"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [{"long": pa.int64(), "array<double>": pa.list_(pa.float64())}[x.split()[1]] for x in columns.split(", ")]
+    types = [{"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[x.split()[1]] for x in columns.split(", ")]
 
     def run(near: pa.Table, here: pa.Table) -> pa.Table:
         if not len(here):
             return pa.table({n: pa.array([], t) for n, t in zip(names, [here["loc_id"].type, *types], strict=True)})
+        # what stands together is looked up together: neighbours in x find their steps in the processor's cache
+        near, here = (t.take(pc.sort_indices(t[x])).combine_chunks() for t, x in zip((near, here), along, strict=True))
         return pa.table([here["loc_id"], *work(near, here)], names=names)
 
-    return spread.groupBy("tx", "ty").cogroup(own.groupBy("tx", "ty")).applyInArrow(run, schema)
+    return spread.groupBy("tile").cogroup(own.groupBy("tile")).applyInArrow(run, schema)
 
 
 def counts_in_boxes(points: DataFrame, places: DataFrame, sizes: tuple[float, ...], kinds: dict[str, Column], nested: bool = False) -> DataFrame:
@@ -126,8 +164,10 @@ def counts_in_boxes(points: DataFrame, places: DataFrame, sizes: tuple[float, ..
 
     def work(near: pa.Table, here: pa.Table) -> list[pa.Array]:
         px, py, bits, cx, cy = (t[c].to_numpy() for t, c in ((near, "px"), (near, "py"), (near, "flags"), (here, "cx"), (here, "cy")))
-        got = sums_in_boxes(px, py, ((bits[:, None] >> np.arange(n)) & 1).astype(np.int32), cx, cy, sizes, rule)
-        return [pa.array(got[:, i]) for i in range(got.shape[1])]
+        pack = Packed(len(px))
+        got = sums_in_boxes(px, py, pack.marks(bits, n).T, cx, cy, sizes, rule)
+        each = pack.words(n)
+        return [pa.array(pack.take(got[:, i * each : (i + 1) * each], k)) for i in range(len(sizes)) for k in range(n)]
 
     names = [f"{k}_{i}" for i in range(len(sizes)) for k in kinds]
     found = by_tile(marked, places.select("loc_id", "cx", "cy"), max(sizes), work, ", ".join(f"{x} long" for x in names))

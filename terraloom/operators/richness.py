@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.tags import CATEGORIES
 from terraloom.operators import surroundings
 from terraloom.operators.ranges import by_tile, counts_in_boxes
-from terraloom.operators.spatial import mercator, points_in_boxes
+from terraloom.operators.spatial import MERCATOR_RADIUS, mercator, points_in_boxes
 from terraloom.sources.views import TAGS
 
 TRUE = ("true", "yes", "1")
@@ -62,7 +66,8 @@ def normal(value: Column) -> Column:
     return F.when(F.lower(value).isin(*TRUE), "yes").otherwise(value)
 
 
-def _tags_of(text: str) -> list[tuple[int, str]]:
+@lru_cache(maxsize=1 << 14)  # tiles hold much the same sets
+def _tags_of(text: str) -> tuple[tuple[int, str], ...]:
     """Numbers of keys and normal values, from the text that `_measured` makes of them."""
     out, at = [], 0
     while at < len(text):
@@ -70,7 +75,7 @@ def _tags_of(text: str) -> list[tuple[int, str]]:
         at += len(key) + len(size) + 2
         out.append((int(key), text[at : at + int(size)]))
         at += int(size)
-    return out
+    return tuple(out)
 
 
 def _category_of(key: int, value: str) -> int:
@@ -85,11 +90,19 @@ _KINDS = ("point", "line", "polygon")
 _MEASURED = (*(f"n_{k}s" for k in _KINDS), "total_kv_instances", "unique_labels", "cells", "pairs", "keys", "categories", "entropy")
 
 
+def _mercator(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As spatial.mercator, so that two numbers of a point are shuffled and not four; by the C library, once for each latitude."""
+    each, at = np.unique(lat, return_inverse=True)
+    tangent = [math.tan(0.7853981633974483 + x / 2) for x in np.radians(each).tolist()]
+    return np.radians(lon) * MERCATOR_RADIUS, (np.array([math.log(x) if x > 0 else math.nan for x in tangent]) * MERCATOR_RADIUS)[at]
+
+
 def _in_tile(near: pa.Table, here: pa.Table, sizes: tuple[float, ...], labels: bool) -> np.ndarray:
     """(places, sizes, _MEASURED) of the places of one tile and the points around."""
     out = np.zeros((len(sizes) * len(here), len(_MEASURED)))
     if len(near) and len(here):
-        px, py, lat, lon, kind, cx, cy = (t[c].to_numpy() for t, c in ((near, "px"), (near, "py"), (near, "lat"), (near, "lon"), (near, "kind"), (here, "cx"), (here, "cy")))
+        lat, lon, kind = (near[c].to_numpy() for c in ("lat", "lon", "kind"))
+        (px, py), (cx, cy) = _mercator(lat, lon), _mercator(here["lat"].to_numpy(), here["lon"].to_numpy())
         coded = near["tags"].combine_chunks().dictionary_encode()
         sets, code = [_tags_of(x) for x in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64)
         known = list(dict.fromkeys(t for s in sets for t in s))
@@ -114,7 +127,7 @@ def _in_tile(near: pa.Table, here: pa.Table, sizes: tuple[float, ...], labels: b
 
 
 def _measured(features: DataFrame, locations: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
-    """(loc_id, m): _MEASURED of each size, ascending, one after another; of locations with coordinates."""
+    """(loc_id, lat, lon, m): _MEASURED of each size, ascending, one after another; of locations with coordinates."""
     fx, fy = mercator(F.col("lat"), F.col("lon"))
     kind = F.lit(-1)
     for i, k in enumerate(_KINDS):
@@ -127,9 +140,10 @@ def _measured(features: DataFrame, locations: DataFrame, sizes: tuple[float, ...
     def work(near: pa.Table, here: pa.Table) -> list[pa.Array]:
         got = _in_tile(near, here, tuple(sorted(sizes)), labels)
         width = len(sizes) * len(_MEASURED)
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * width), pa.array(got.reshape(-1)))]
+        return [here["lat"], here["lon"], pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1, dtype=np.int32) * width), pa.array(got.reshape(-1)))]
 
-    return by_tile(points, locations.select("loc_id", x.alias("cx"), y.alias("cy")), max(sizes), work, "m array<double>")
+    places = locations.select("loc_id", "lat", "lon", x.alias("cx"), y.alias("cy"))
+    return by_tile(points, places, max(sizes), work, "lat double, lon double, m array<double>", ("lon", "lon"), ("px", "py", "cx", "cy"))
 
 
 def _every_level(locations: DataFrame, sizes: tuple[float, ...], *keep: str) -> DataFrame:
@@ -164,71 +178,126 @@ def _by_pairs(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes:
     return _every_level(locations, sizes).join(shape, ["loc_id", "level"], "left").join(kv, ["loc_id", "level"], "left").fillna(0)
 
 
-def _by_tiles(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
-    """What _by_pairs gives where each loc_id is there once, without the pairs."""
-    at = lambda name: F.coalesce(F.get("m", (F.col("level") - 1) * len(_MEASURED) + _MEASURED.index(name)), F.lit(0.0)).cast("double" if name == "entropy" else "long").alias(name)
-    out = _every_level(locations.join(_measured(features, locations, sizes, labels), "loc_id", "left"), sizes, "m").select("loc_id", "level", "size", *map(at, _MEASURED))
-    held = [F.col("keys").bitwiseAND(F.lit(1 << i).cast("long")) != 0 for i in range(len(TAGS))]
-    idf_sum = sum((F.when(h, F.coalesce(f"_idf_{i}", F.lit(0.0))).otherwise(0.0) for i, h in enumerate(held)), F.lit(0.0))
-    return out.crossJoin(F.broadcast(idf)).select(  # one row
-        "loc_id", "level", "size", *[f"n_{k}s" for k in _KINDS], *([F.col("unique_labels").cast("int").alias("unique_labels")] if labels else []), (F.col("cells") / float(GRID * GRID)).alias("spatial_coverage"),
-        F.col("pairs").cast("int").alias("unique_kv_pairs"), F.bit_count("keys").alias("unique_keys"), "total_kv_instances", (F.bit_count("categories") / 10.0).alias("category_coverage"), F.col("entropy").alias("tag_entropy"),
-        (idf_sum / F.greatest(F.bit_count("keys"), F.lit(1))).alias("idf_score"),
-    )
+_COUNTED = (*(f"n_{k}s" for k in _KINDS), "unique_labels", "spatial_coverage", "unique_kv_pairs", "unique_keys", "total_kv_instances", "category_coverage", "tag_entropy", "idf_score")
+Named = Callable[[str], str]  # the column that holds a measure
+PLAIN: Named = str
+
 
+def _at_level(i: int) -> Named:
+    return lambda name: f"{name}_{i}"
 
-def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...], *, labels: bool = True) -> DataFrame:
+
+def _by_tiles(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes: tuple[float, ...], labels: bool) -> DataFrame:
+    """A row for each location, whose loc_id is there once: loc_id, lat, lon and, for each level i from 1, size_i and the counted measures, without the pairs."""
+    x, y = mercator(F.col("lat"), F.col("lon"))
+    nowhere = locations.where(F.isnan(F.coalesce(x, F.lit(math.nan))) | F.isnan(F.coalesce(y, F.lit(math.nan)))).select("loc_id", "lat", "lon", F.lit(None).cast("array<double>").alias("m"))
+    out = _measured(features, locations, sizes, labels).unionByName(nowhere).withColumn("m", F.when(F.col("loc_id").isNotNull(), F.col("m")))  # null meets nothing
+    levels = range(1, len(sizes) + 1)
+    at = lambda i, name: F.coalesce(F.get("m", F.lit((i - 1) * len(_MEASURED) + _MEASURED.index(name))), F.lit(0.0)).cast("double" if name == "entropy" else "long").alias(f"{name}_{i}")
+    out = out.select("loc_id", "lat", "lon", *[at(i, name) for i in levels for name in _MEASURED])
+
+    def counted(i: int, size: float) -> list[Column]:
+        c = lambda name: F.col(f"{name}_{i}")
+        held = [c("keys").bitwiseAND(F.lit(1 << k).cast("long")) != 0 for k in range(len(TAGS))]
+        idf_sum = sum((F.when(h, F.coalesce(f"_idf_{k}", F.lit(0.0))).otherwise(0.0) for k, h in enumerate(held)), F.lit(0.0))
+        found = [F.lit(float(size)).alias("size"), *[c(f"n_{k}s").alias(f"n_{k}s") for k in _KINDS], *([c("unique_labels").cast("int").alias("unique_labels")] if labels else []), (c("cells") / float(GRID * GRID)).alias("spatial_coverage")]
+        found += [c("pairs").cast("int").alias("unique_kv_pairs"), F.bit_count(c("keys")).alias("unique_keys"), c("total_kv_instances").alias("total_kv_instances"), (F.bit_count(c("categories")) / 10.0).alias("category_coverage"), c("entropy").alias("tag_entropy")]
+        found.append((idf_sum / F.greatest(F.bit_count(c("keys")), F.lit(1))).alias("idf_score"))
+        return [x.alias(f"{n}_{i}") for x, n in zip(found, ("size", *[n for n in _COUNTED if labels or n != "unique_labels"]), strict=True)]
+
+    return out.crossJoin(F.broadcast(idf)).select("loc_id", "lat", "lon", *[x for i, s in zip(levels, sorted(sizes), strict=True) for x in counted(i, s)])  # one row
+
+
+def _rows(wide: DataFrame, levels: int, labels: bool) -> DataFrame:
+    """A row for each location and level of the columns of each level."""
+    names = ("size", *[n for n in _COUNTED if labels or n != "unique_labels"])
+    return wide.select("loc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("level"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i in range(1, levels + 1)])))
+
+
+def _derived(out: DataFrame, named: Named = PLAIN) -> DataFrame:
+    """With the measures that follow from those counted."""
+    c = lambda name: F.col(named(name))
+    nodes = c("n_points") + c("n_lines") + c("n_polygons")
+    share = lambda n: F.when(c(n) > 0, c(n) / nodes * F.log(c(n) / nodes)).otherwise(0.0)
+    some = F.greatest(*[c(f"n_{k}s") for k in _KINDS])
+    out = out.withColumns({named("total_nodes"): nodes, named("geometry_entropy"): F.when((nodes == 0) | (some == nodes), 0.0).otherwise(-(share("n_points") + share("n_lines") + share("n_polygons")))})
+    nodes = c("total_nodes")
+    out = out.withColumns({named("feature_density"): nodes / ((2 * c("size") / 1000.0) * (2 * c("size") / 1000.0)), named("semantic_depth"): F.when(nodes > 0, c("total_kv_instances") / nodes).otherwise(0.0)})
+    return out.withColumn(named("richness_score"), composite(named))
+
+
+def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...], *, labels: bool = True, wide: bool = False) -> DataFrame:
     """The richness measures of each location and level, zero where nothing lies; frequencies: (k, freq) of tag keys.
 
     labels: whether unique_labels is among them. Features and locations meet in pairs only where a loc_id is there more than once.
+    wide: if none is, a row for each location (loc_id, lat, lon) with size_i and the measures of each level i as {name}_i: a choice among the levels then needs no shuffle.
     """
     top = F.max("freq").over(Window.partitionBy())  # over a row for each key of the schema
     idf = frequencies.select("k", F.log(top / F.col("freq") + 1).alias("idf")).agg(*[F.max(F.when(F.col("k") == t, F.col("idf"))).alias(f"_idf_{i}") for i, t in enumerate(TAGS)])
     again = locations.groupBy("loc_id").agg(F.count("*").alias("n")).where("n > 1").select("loc_id")
     if again.isEmpty():  # asked first, as features would be shuffled once more for no location
         out = _by_tiles(features, locations, idf, sizes, labels)
+        if wide:
+            for i in range(1, len(sizes) + 1):
+                out = _derived(out, _at_level(i))
+            return out
+        out = _rows(out, len(sizes), labels)
     else:
-        out = _by_tiles(features, locations.join(again, "loc_id", "left_anti"), idf, sizes, labels)
+        out = _rows(_by_tiles(features, locations.join(again, "loc_id", "left_anti"), idf, sizes, labels), len(sizes), labels)
         out = out.unionByName(_by_pairs(features, locations.join(again, "loc_id", "left_semi"), idf, sizes, labels))
-    nodes = F.col("n_points") + F.col("n_lines") + F.col("n_polygons")
-    share = lambda c: F.when(F.col(c) > 0, F.col(c) / nodes * F.log(F.col(c) / nodes)).otherwise(0.0)
-    some = F.greatest(*[F.col(f"n_{k}s") for k in _KINDS])
-    out = out.withColumn("total_nodes", nodes).withColumn("geometry_entropy", F.when((nodes == 0) | (some == nodes), 0.0).otherwise(-(share("n_points") + share("n_lines") + share("n_polygons"))))
-    out = out.withColumn("feature_density", nodes / ((2 * F.col("size") / 1000.0) * (2 * F.col("size") / 1000.0))).withColumn("semantic_depth", F.when(nodes > 0, F.col("total_kv_instances") / nodes).otherwise(0.0))
-    return out.withColumn("richness_score", composite())
+    return _derived(out)
 
 
-def composite() -> Column:
-    return F.least(F.lit(1.0), sum((w * F.least(F.col(c) / cap, F.lit(1.0)) for c, (w, cap) in WEIGHTS.items()), F.lit(0.0)))
+def composite(named: Named = PLAIN) -> Column:
+    return F.least(F.lit(1.0), sum((w * F.least(F.col(named(c)) / cap, F.lit(1.0)) for c, (w, cap) in WEIGHTS.items()), F.lit(0.0)))
+
+
+def _names(metrics: DataFrame) -> list[Named]:
+    """One for each level of metrics with a row for each location; none where each level has a row."""
+    return [] if "level" in metrics.columns else [_at_level(i) for i in range(1, 1 + sum(n.startswith("size_") for n in metrics.columns))]
 
 
 def selected_level(metrics: DataFrame, weights: dict[str, float] | None = None, min_nodes: int = MIN_NODES) -> DataFrame:
-    """(loc_id, level, score): the level with the best score of each location, the lower one of equals."""
-    w, own = SELECTION | (weights or {}), Window.partitionBy("loc_id")
-
-    def spread(value: Column) -> Column:
-        low, high = F.min(value).over(own), F.max(value).over(own)
-        return F.when(high == low, 1.0).otherwise((value - low) / (high - low))
-
-    plain = sum((w[c] * F.col(c) for c in ("richness_score", "category_coverage", "spatial_coverage")), F.lit(0.0))
-    spread_out = sum((w[c] * spread(F.col(c)) for c in ("tag_entropy", "idf_score", "semantic_depth")), F.lit(0.0))
-    cost = w["size"] * spread(F.log("size")) + w["nodes"] * spread(F.log(F.greatest(F.col("total_nodes"), F.lit(1)).cast("double")))
-    score = plain + spread_out - cost - F.when((F.lit(min_nodes) > 0) & (F.col("total_nodes") < min_nodes), 2.0).otherwise(0.0)
-    ranked = metrics.withColumn("score", score).withColumn("r", F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "level")))
+    """(loc_id, level, score): the level with the best score of each location, the lower one of equals. metrics: in either form."""
+    w, own, levels = SELECTION | (weights or {}), Window.partitionBy("loc_id"), _names(metrics)
+
+    def spread(value: Callable[[Named], Column], named: Named) -> Column:
+        if levels:
+            every = F.array(*[value(n) for n in levels])
+            low, high = F.array_min(every), F.array_max(every)
+        else:
+            low, high = F.min(value(PLAIN)).over(own), F.max(value(PLAIN)).over(own)
+        return F.when(high == low, 1.0).otherwise((value(named) - low) / (high - low))
+
+    def score(named: Named) -> Column:
+        plain = sum((w[c] * F.col(named(c)) for c in ("richness_score", "category_coverage", "spatial_coverage")), F.lit(0.0))
+        spread_out = sum((w[c] * spread(lambda n, c=c: F.col(n(c)), named) for c in ("tag_entropy", "idf_score", "semantic_depth")), F.lit(0.0))
+        cost = w["size"] * spread(lambda n: F.log(n("size")), named) + w["nodes"] * spread(lambda n: F.log(F.greatest(F.col(n("total_nodes")), F.lit(1)).cast("double")), named)
+        return plain + spread_out - cost - F.when((F.lit(min_nodes) > 0) & (F.col(named("total_nodes")) < min_nodes), 2.0).otherwise(0.0)
+
+    if levels:
+        scored = metrics.select("loc_id", *[score(n).alias(n("score")) for n in levels])
+        best = F.array_min(F.array(*[F.struct((-F.round(n("score"), 9)).alias("least"), F.lit(i).alias("level"), F.col(n("score")).alias("score")) for i, n in enumerate(levels, 1)]))
+        return scored.select("loc_id", best.alias("best")).select("loc_id", "best.level", "best.score")
+    ranked = metrics.withColumn("score", score(PLAIN)).withColumn("r", F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), "level")))
     return ranked.where("r = 1").select("loc_id", "level", "score")
 
 
 def first_rich(metrics: DataFrame, *, nodes: int = 5, labels: int = 3, score: float | None = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
     """(loc_id, level, size, accepted): the least level that is rich enough; else the largest if it holds anything; else none.
 
-    keep: more metrics of that level.
+    metrics: in either form. keep: more metrics of that level.
     """
-    rich = (F.col("total_nodes") >= nodes) & (F.col("unique_labels") >= labels) & (F.lit(True) if score is None else F.round("richness_score", 9) >= score)
-    own = ("level", "size", *keep)
-    per = metrics.groupBy("loc_id").agg(F.min(F.when(rich, F.struct(*own))).alias("rich"), F.max(F.struct("level", "size", F.col("total_nodes").alias("nodes"), *keep)).alias("last"))
-    held = F.col("last.nodes") > 0
+    rich = lambda n: (F.col(n("total_nodes")) >= nodes) & (F.col(n("unique_labels")) >= labels) & (F.lit(True) if score is None else F.round(n("richness_score"), 9) >= score)
+    chosen, levels = ("level", "size", *keep), _names(metrics)
+    if levels:
+        at = [F.struct(F.lit(i).alias("level"), *[F.col(n(c)).alias(c) for c in ("size", *keep)]) for i, n in enumerate(levels, 1)]
+        per = metrics.select("loc_id", F.coalesce(*[F.when(rich(n), x) for n, x in zip(levels, at, strict=True)]).alias("rich"), at[-1].alias("last"), F.col(levels[-1]("total_nodes")).alias("nodes"))
+    else:
+        per = metrics.groupBy("loc_id").agg(F.min(F.when(rich(PLAIN), F.struct(*chosen))).alias("rich"), F.max(F.struct("level", "size", F.col("total_nodes").alias("nodes"), *keep)).alias("last")).withColumn("nodes", F.col("last.nodes"))
+    held = F.col("nodes") > 0
     pick = lambda c: F.coalesce(F.col(f"rich.{c}"), F.when(held, F.col(f"last.{c}"))).alias(c)
-    return per.select("loc_id", *map(pick, own), F.when(F.col("rich").isNotNull(), "rich").when(held, "ceiling").otherwise("none").alias("accepted"))
+    return per.select("loc_id", *map(pick, chosen), F.when(F.col("rich").isNotNull(), "rich").when(held, "ceiling").otherwise("none").alias("accepted"))
 
 
 def levels_with_data(metrics: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from terraloom.operators.ranges import reach
+from terraloom.operators.ranges import Packed, reach
 
 BLOCK = 64  # locations of a block in sums over rectangles
 PART = 8_192  # locations at most whose rectangles are summed together
@@ -51,16 +51,18 @@ class Matrix:
         return out
 
     def sums(self, weights: np.ndarray, left: np.ndarray, right: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """below(), with weights (n, k) summed in place of ones."""
-        out, total = np.zeros((len(left), weights.shape[1]), np.int64), np.zeros((len(weights) + 1, weights.shape[1]), np.int64)
+        """(k, queries): below(), with weights (k, n) summed in place of ones."""
+        out, total = np.zeros((len(weights), len(left)), np.int64), np.zeros(weights.shape[1] + 1, np.int64)
         for bit, before, order in self.levels:
-            weights = weights[order]
-            np.cumsum(weights, axis=0, out=total[1:])
+            weights, ones = weights.take(order, axis=1), before[-1]
             zl, zr = before[left], before[right]
             up = (bound >> bit) & 1 == 1
             at = np.flatnonzero(up)
-            out[at] += total[zr[at]] - total[zl[at]]
-            left, right = np.where(up, before[-1] + left - zl, zl), np.where(up, before[-1] + right - zr, zr)
+            first, last = zl[at], zr[at]
+            for own, found in zip(weights, out, strict=True):
+                np.cumsum(own[:ones], out=total[1 : ones + 1])
+                found[at] += total[last] - total[first]
+            left, right = np.where(up, ones + left - zl, zl), np.where(up, ones + right - zr, zr)
         return out
 
 
@@ -85,28 +87,8 @@ class Boxes:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Per box the sums of weights (n, k), of points in the order they came in."""
         both = lambda a, b: np.concatenate([a, b])
-        got = self.matrix.sums(weights[self.order], both(self.left, self.left), both(self.right, self.right), both(self.y0, self.y1))
-        return got[len(self.left) :] - got[: len(self.left)]
-
-
-class Packed:
-    """Columns of small numbers as fields of 64-bit words; sums over all points fit a field."""
-
-    def __init__(self, points: int, most: int = 1) -> None:
-        self.bits = max(1, (points * most).bit_length())
-        self.per = max(1, 63 // self.bits)
-
-    def words(self, columns: int) -> int:
-        return -(-columns // self.per)
-
-    def put(self, rows: int, at: np.ndarray, column: np.ndarray, columns: int, value: np.ndarray | int = 1) -> np.ndarray:
-        """(rows, words) with value added in the fields (at, column)."""
-        out = np.zeros((rows, self.words(columns)), np.int64)
-        np.add.at(out, (at, column // self.per), np.int64(value) << (self.bits * (column % self.per)))
-        return out
-
-    def take(self, words: np.ndarray, column: int) -> np.ndarray:
-        return (words[:, column // self.per] >> (self.bits * (column % self.per))) & ((1 << self.bits) - 1)
+        got = self.matrix.sums(weights.T.take(self.order, axis=1), both(self.left, self.left), both(self.right, self.right), both(self.y0, self.y1))
+        return (got[:, len(self.left) :] - got[:, : len(self.left)]).T
 
 
 def cuts(values: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, grid: int) -> list[np.ndarray]:
@@ -191,17 +173,18 @@ def in_rectangles(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray
     m = len(at_y)
     blocks = -(-(m + 1) // BLOCK)
     seat = np.arange(m)
-    own = np.zeros((blocks, m + 1), np.int64)  # places of a block below a y
+    own = np.zeros((blocks, m + 1), np.int16)  # places of a block below a y
     own[seat // BLOCK, at_y + 1] = 1
-    own = own.cumsum(1)
+    own = own.cumsum(1, dtype=np.int16)
     wide = BLOCK + 1
-    before, inner = np.zeros(blocks * (m + 1), np.int64), np.zeros(blocks * BLOCK * wide, np.int64)
+    small = np.int32 if 2 * len(x0) < 2**31 else np.int64
+    before, inner = np.zeros(blocks * (m + 1), small), np.zeros(blocks * BLOCK * wide, np.int64)
     for sign, x, y in ((1, np.concatenate([x0, x1]), np.concatenate([y0, y1])), (-1, np.concatenate([x1, x0]), np.concatenate([y0, y1]))):
         block = x // BLOCK
-        before += sign * np.bincount(block * (m + 1) + y, minlength=len(before))
+        before += (sign * np.bincount(block * (m + 1) + y, minlength=len(before))).astype(small)
         inner += sign * np.bincount(x * wide + own[block, y], minlength=len(inner))
-    before = before.reshape(blocks, m + 1).cumsum(1)
-    before = before.cumsum(0) - before
+    before = before.reshape(blocks, m + 1).cumsum(1, dtype=small)
+    before = before.cumsum(0, dtype=small) - before
     inner = inner.reshape(blocks, BLOCK, wide).cumsum(1).cumsum(2)
     return before[seat // BLOCK, at_y] + inner[seat // BLOCK, seat % BLOCK, own[seat // BLOCK, at_y]]
 

@@ -41,9 +41,9 @@ def landuse_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "feat").where("geom_type = 'polygon'").select("feature_id", tags.landuse_class(list(TAGS)).alias("class"))
 
 
-def _metrics(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
+def _metrics(spark: SparkSession, sf_dir: str, labels: bool = True, wide: bool = False) -> DataFrame:
     feat, loc, kv = _views(spark, sf_dir, "feat", "loc", "kv")
-    return richness.level_metrics(feat, loc, kv.groupBy("k").agg(F.count("*").cast("double").alias("freq")), SIZES, labels=labels)
+    return richness.level_metrics(feat, loc, kv.groupBy("k").agg(F.count("*").cast("double").alias("freq")), SIZES, labels=labels, wide=wide)
 
 
 def richness_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,11 @@ def richness_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(richness.selected_level(_metrics(spark, sf_dir, labels=False)))
+    return _rounded(richness.selected_level(_metrics(spark, sf_dir, labels=False, wide=True)))
 
 
 def adaptive_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return richness.first_rich(_metrics(spark, sf_dir))
+    return richness.first_rich(_metrics(spark, sf_dir, wide=True))
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,26 @@ def test_level_metrics_meet_no_pairs_and_measure_a_location_named_twice_together
     as_text = lambda df: sorted(repr([round(x, 9) + 0.0 if isinstance(x, float) else x for x in r]) for r in df.collect())
     assert as_text(got) == as_text(want)
     assert "Join" not in richness._measured(feat, loc, sizes, True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_choice_among_levels_is_the_same_from_a_row_for_each_location_and_shuffles_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, ["point", "line", "polygon"][i % 3], float(rng.uniform(-3, 3)), float(rng.uniform(-3, 3)), *[rng.choice(["a", "b", "yes", None]) if t in ("shop", "building") else None for t in TAGS]) for i in range(200)]
+    feat = spark.createDataFrame(rows, "feature_id long, geom_type string, lat double, lon double, " + ", ".join(f"`{t}` string" for t in TAGS))
+    loc = spark.createDataFrame([*[(i, float(rng.uniform(-4, 4)), float(rng.uniform(-4, 4))) for i in range(40)], (50, None, 1.0), (51, 60.0, 60.0), (None, 0.0, 0.0)], "loc_id long, lat double, lon double")
+    freq = spark.createDataFrame([("shop", 9.0), ("building", 4.0)], "k string, freq double")
+    wide, rows = (richness.level_metrics(feat, loc, freq, (20_000.0, 60_000.0, 100_000.0), wide=w) for w in (True, False))
+    as_text = lambda df: sorted(repr([round(x, 9) + 0.0 if isinstance(x, float) else x for x in r]) for r in df.collect())
+    for choice in (richness.selected_level, lambda m: richness.first_rich(m, nodes=3, labels=2, keep=("richness_score",))):
+        got = choice(wide)
+        assert as_text(got) == as_text(choice(rows)) and got.count() == 43
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan[: plan.index("FlatMapCoGroupsInArrow")] for x in ("Aggregate", "Window", "LeftOuter"))
+
+
+def test_tiles_leave_the_scan_of_what_points_are_made_of_as_it_is(spark, sf_dir):
+    from terraloom.operators.scoring import location_counts
+    from terraloom.sources.views import view
+
+    plan = location_counts(view(spark, sf_dir, "feat"), view(spark, sf_dir, "loc"), 1000.0)._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(l_orderkey" not in plan  # else the shuffle of features isn't the one that counts of tags read
