@@ -283,21 +283,23 @@ def selected_level(metrics: DataFrame, weights: dict[str, float] | None = None,
     return ranked.where("r = 1").select("loc_id", "level", "score")
 
 
-def first_rich(metrics: DataFrame, *, nodes: int = 5, labels: int = 3, score: float | None = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
+def first_rich(metrics: DataFrame, *, nodes: int = 5, labels: int = 3, score: float | None = 0.2, keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """(loc_id, level, size, accepted): the least level that is rich enough; else the largest if it holds anything; else none.
 
-    metrics: in either form. keep: more metrics of that level.
+    metrics: in either form. keep: more metrics of that level. carry: columns of the location, with a row for each alone.
     """
     rich = lambda n: (F.col(n("total_nodes")) >= nodes) & (F.col(n("unique_labels")) >= labels) & (F.lit(True) if score is None else F.round(n("richness_score"), 9) >= score)
     chosen, levels = ("level", "size", *keep), _names(metrics)
     if levels:
         at = [F.struct(F.lit(i).alias("level"), *[F.col(n(c)).alias(c) for c in ("size", *keep)]) for i, n in enumerate(levels, 1)]
-        per = metrics.select("loc_id", F.coalesce(*[F.when(rich(n), x) for n, x in zip(levels, at, strict=True)]).alias("rich"), at[-1].alias("last"), F.col(levels[-1]("total_nodes")).alias("nodes"))
+        per = metrics.select("loc_id", *carry, F.coalesce(*[F.when(rich(n), x) for n, x in zip(levels, at, strict=True)]).alias("rich"), at[-1].alias("last"), F.col(levels[-1]("total_nodes")).alias("nodes"))
     else:
         per = metrics.groupBy("loc_id").agg(F.min(F.when(rich(PLAIN), F.struct(*chosen))).alias("rich"), F.max(F.struct("level", "size", F.col("total_nodes").alias("nodes"), *keep)).alias("last")).withColumn("nodes", F.col("last.nodes"))
     held = F.col("nodes") > 0
     pick = lambda c: F.coalesce(F.col(f"rich.{c}"), F.when(held, F.col(f"last.{c}"))).alias(c)
-    return per.select("loc_id", *map(pick, chosen), F.when(F.col("rich").isNotNull(), "rich").when(held, "ceiling").otherwise("none").alias("accepted"))
+    out = [*map(pick, chosen), F.when(F.col("rich").isNotNull(), "rich").when(held, "ceiling").otherwise("none").alias("accepted")]
+    # by a generator, as Spark would write the measures out again in every filter on what is chosen
+    return per.select("loc_id", *carry, F.inline(F.array(F.struct(*out))))
 
 
 def levels_with_data(metrics: DataFrame) -> DataFrame:

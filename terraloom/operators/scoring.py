@@ -78,8 +78,8 @@ def stratified(scored: DataFrame, total: int, per_cell: int, seed: int) -> DataF
     return ranked.where((F.col("k") <= max(shares.values())) & (F.col("k") <= quota)).drop("r", "k", "key")
 
 
-def shifted_quotas(pools: DataFrame, total: int) -> DataFrame:
-    """pools (bucket, n, ...; a row for each bucket at most) with quota, the rows that a bucket gives.
+def shifted_quotas(pools: DataFrame, total: int, once: Column | None = None) -> DataFrame:
+    """pools (bucket, n, ...; a row for each bucket at most, or once tells of one of each) with quota, the rows that a bucket gives.
 
     A bucket with fewer rows than its share gives all. What is lacking is shared out among the others in proportion to
     what they have left, rounded half to even, so the sum may miss the total by a few; nobody gives more than it has.
@@ -87,7 +87,8 @@ def shifted_quotas(pools: DataFrame, total: int) -> DataFrame:
     share = F.coalesce(*[F.when(F.col("bucket") == n, q) for n, q in quotas(total).items()], F.lit(0))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.greatest(F.col("n") - share, F.lit(0))
-    lack, spare = total - F.sum(F.least("n", share)).over(every), F.sum(left).over(every)
+    each = lambda x: F.sum(x if once is None else F.when(once, x)).over(every)
+    lack, spare = total - each(F.least("n", share)), each(left)
     more = F.when((lack > 0) & (spare > 0), F.least(left, F.bround(lack * left / spare))).otherwise(0)
     return pools.withColumn("quota", (F.least("n", share) + more).cast("long"))
 
@@ -95,20 +96,21 @@ def shifted_quotas(pools: DataFrame, total: int) -> DataFrame:
 def diverse(scored: DataFrame, total: int, per_cell: int, seed: int, balance: float) -> DataFrame:
     """About `total` rows of scored (loc_id, bucket, cell, size, richness), with quotas by bucket.
 
-    At most per_cell rows of a (bucket, cell) stand for choice, in hash order. A bucket's rows are drawn without
+    At most per_cell rows of a (bucket, cell) stand for choice, in hash order; those of a bucket meet in a task. They are drawn without
     replacement, by weights of balance * (size between the bucket's least and greatest) + (1 - balance) * richness:
     those of the greatest ln(u) / weight, u from a hash of the row, which is repeatable and needs no state.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("loc_id").cast("string")))
     capped = scored.withColumn("key", key).withColumn("r", F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("key"))).where(F.col("r") <= per_cell)
-    pools = shifted_quotas(capped.groupBy("bucket").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high")), total)
+    own = Window.partitionBy("bucket")  # windows, as a second use of capped would make scored again
+    held = capped.withColumns({"n": F.count("*").over(own), "low": F.min("size").over(own), "high": F.max("size").over(own)})
     part = F.when(F.col("high") > F.col("low"), (F.col("size") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)
     weight = balance * part + (1.0 - balance) * F.col("richness") + 1e-8
     u = F.conv(F.substring("key", 25, 8), 16, 10).cast("double") / 4294967296.0 + 1e-10
-    drawn = capped.join(F.broadcast(pools), "bucket").withColumn("draw", F.log(u) / weight)  # a row for each of four buckets
-    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("draw"), "loc_id")))
-    # no quota is beyond total and what rounding adds; the constant bound lets each task drop rows first
-    return ranked.where((F.col("k") <= total + len(BUCKETS)) & (F.col("k") <= F.col("quota"))).select("loc_id", "bucket", "cell", "size", "richness")
+    ranked = held.withColumn("draw", F.log(u) / weight).withColumn("k", F.row_number().over(own.orderBy(F.desc("draw"), "loc_id")))
+    # no quota is beyond total and what rounding adds, so few rows meet for the quotas
+    first = shifted_quotas(ranked.where(F.col("k") <= total + len(BUCKETS)), total, F.col("k") == 1)
+    return first.where(F.col("k") <= F.col("quota")).select("loc_id", "bucket", "cell", "size", "richness")
 
 
 def hash_ranked(df: DataFrame, name: str, seed: int, digits: int = 3) -> DataFrame:

@@ -61,8 +61,12 @@ def adaptive_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations with their box size, the richness measured there, bucket and cell; those without features are left out."""
     cell = F.concat_ws("_", F.floor(F.col("lat") / 10).cast("int").cast("string"), F.floor(F.col("lon") / 10).cast("int").cast("string"))
-    found = richness.first_rich(_metrics(spark, sf_dir), keep=("richness_score",)).where("level IS NOT NULL").select("loc_id", "size", F.round("richness_score", 9).alias("richness"))
-    found = found.join(view(spark, sf_dir, "loc").select("loc_id", cell.alias("cell")), "loc_id")
+    metrics = _metrics(spark, sf_dir, wide=True)
+    place = tuple(c for c in ("lat", "lon") if c in metrics.columns)  # none where a loc_id is there more than once
+    found = richness.first_rich(metrics, keep=("richness_score",), carry=place).where("level IS NOT NULL")
+    if not place:
+        found = found.join(view(spark, sf_dir, "loc"), "loc_id")
+    found = found.select("loc_id", "size", F.round("richness_score", 9).alias("richness"), cell.alias("cell"))
     return found.withColumn("bucket", scoring.bucket(F.col("richness")))
 
 

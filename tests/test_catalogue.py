@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.operators import scoring
 from terraloom.plans import catalogue
@@ -66,3 +67,17 @@ def test_weighted_choice_of_equal_sizes_and_empty_input(spark):
     assert len(got) == len({r.loc_id for r in got}) == 20
     assert max(sum(r.cell == c for r in got) for c in {r.cell for r in got}) <= 2
     assert scoring.diverse(scored.where("loc_id < 0"), 20, 2, 7, 0.5).count() == 0
+
+
+def test_weighted_choice_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"c{i % 50}", 1.0, 0.3) for i in range(200)]
+    scored = spark.createDataFrame(rows, "loc_id long, cell string, size double, richness double")
+    scored = scored.mapInArrow(counted, scored.schema).withColumn("bucket", scoring.bucket(F.col("richness")))
+    assert len(scoring.diverse(scored, 20, 2, 7, 0.5).collect()) == 20 and made.value == 200
