@@ -30,6 +30,14 @@ def _total(values: Column, each) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + each(x))
 
 
+def _folded(values: list[Column]) -> Column:
+    """Their sum, the first being a fold of an array, which Spark leaves out of whole stages: it compiles the projection by itself, in small methods.
+
+    As plain sums the measures of several levels are one method of a whole stage, too long for the JVM to compile.
+    """
+    return sum(values[1:], _total(F.array(values[0]), lambda x: x))
+
+
 def category_of_tag(key: Column, value: Column) -> Column:
     out = F
     for name, rules in CATEGORIES.items():
@@ -199,7 +207,7 @@ def _by_tiles(features: DataFrame, locations: DataFrame, idf: DataFrame, sizes:
     def counted(i: int, size: float) -> list[Column]:
         c = lambda name: F.col(f"{name}_{i}")
         held = [c("keys").bitwiseAND(F.lit(1 << k).cast("long")) != 0 for k in range(len(TAGS))]
-        idf_sum = sum((F.when(h, F.coalesce(f"_idf_{k}", F.lit(0.0))).otherwise(0.0) for k, h in enumerate(held)), F.lit(0.0))
+        idf_sum = _folded([F.when(h, F.coalesce(f"_idf_{k}", F.lit(0.0))).otherwise(0.0) for k, h in enumerate(held)])
         found = [F.lit(float(size)).alias("size"), *[c(f"n_{k}s").alias(f"n_{k}s") for k in _KINDS], *([c("unique_labels").cast("int").alias("unique_labels")] if labels else []), (c("cells") / float(GRID * GRID)).alias("spatial_coverage")]
         found += [c("pairs").cast("int").alias("unique_kv_pairs"), F.bit_count(c("keys")).alias("unique_keys"), c("total_kv_instances").alias("total_kv_instances"), (F.bit_count(c("categories")) / 10.0).alias("category_coverage"), c("entropy").alias("tag_entropy")]
         found.append((idf_sum / F.greatest(F.bit_count(c("keys")), F.lit(1))).alias("idf_score"))
@@ -214,16 +222,18 @@ def _rows(wide: DataFrame, levels: int, labels: bool) -> DataFrame:
     return wide.select("loc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("level"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i in range(1, levels + 1)])))
 
 
-def _derived(out: DataFrame, named: Named = PLAIN) -> DataFrame:
-    """With the measures that follow from those counted."""
-    c = lambda name: F.col(named(name))
-    nodes = c("n_points") + c("n_lines") + c("n_polygons")
-    share = lambda n: F.when(c(n) > 0, c(n) / nodes * F.log(c(n) / nodes)).otherwise(0.0)
-    some = F.greatest(*[c(f"n_{k}s") for k in _KINDS])
-    out = out.withColumns({named("total_nodes"): nodes, named("geometry_entropy"): F.when((nodes == 0) | (some == nodes), 0.0).otherwise(-(share("n_points") + share("n_lines") + share("n_polygons")))})
-    nodes = c("total_nodes")
-    out = out.withColumns({named("feature_density"): nodes / ((2 * c("size") / 1000.0) * (2 * c("size") / 1000.0)), named("semantic_depth"): F.when(nodes > 0, c("total_kv_instances") / nodes).otherwise(0.0)})
-    return out.withColumn(named("richness_score"), composite(named))
+def _derived(out: DataFrame, *names: Named) -> DataFrame:
+    """With the measures that follow from those counted, for each of names."""
+    counted, per_area = {}, {}
+    for named in names:
+        c = lambda name, named=named: F.col(named(name))
+        nodes = c("n_points") + c("n_lines") + c("n_polygons")
+        share = [F.when(c(f"n_{k}s") > 0, c(f"n_{k}s") / nodes * F.log(c(f"n_{k}s") / nodes)).otherwise(0.0) for k in _KINDS]
+        some = F.greatest(*[c(f"n_{k}s") for k in _KINDS])
+        counted |= {named("total_nodes"): nodes, named("geometry_entropy"): F.when((nodes == 0) | (some == nodes), 0.0).otherwise(-_folded(share))}
+        nodes = c("total_nodes")
+        per_area |= {named("feature_density"): nodes / ((2 * c("size") / 1000.0) * (2 * c("size") / 1000.0)), named("semantic_depth"): F.when(nodes > 0, c("total_kv_instances") / nodes).otherwise(0.0)}
+    return out.withColumns(counted).withColumns(per_area).withColumns({named("richness_score"): composite(named) for named in names})
 
 
 def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFrame, sizes: tuple[float, ...], *, labels: bool = True, wide: bool = False) -> DataFrame:
@@ -238,18 +248,16 @@ def level_metrics(features: DataFrame, locations: DataFrame, frequencies: DataFr
     if again.isEmpty():  # asked first, as features would be shuffled once more for no location
         out = _by_tiles(features, locations, idf, sizes, labels)
         if wide:
-            for i in range(1, len(sizes) + 1):
-                out = _derived(out, _at_level(i))
-            return out
+            return _derived(out, *[_at_level(i) for i in range(1, len(sizes) + 1)])
         out = _rows(out, len(sizes), labels)
     else:
         out = _rows(_by_tiles(features, locations.join(again, "loc_id", "left_anti"), idf, sizes, labels), len(sizes), labels)
         out = out.unionByName(_by_pairs(features, locations.join(again, "loc_id", "left_semi"), idf, sizes, labels))
-    return _derived(out)
+    return _derived(out, PLAIN)
 
 
 def composite(named: Named = PLAIN) -> Column:
-    return F.least(F.lit(1.0), sum((w * F.least(F.col(named(c)) / cap, F.lit(1.0)) for c, (w, cap) in WEIGHTS.items()), F.lit(0.0)))
+    return F.least(F.lit(1.0), _folded([w * F.least(F.col(named(c)) / cap, F.lit(1.0)) for c, (w, cap) in WEIGHTS.items()]))
 
 
 def _names(metrics: DataFrame) -> list[Named]:
@@ -270,8 +278,8 @@ def selected_level(metrics: DataFrame, weights: dict[str, float] | None = None,
         return F.when(high == low, 1.0).otherwise((value(named) - low) / (high - low))
 
     def score(named: Named) -> Column:
-        plain = sum((w[c] * F.col(named(c)) for c in ("richness_score", "category_coverage", "spatial_coverage")), F.lit(0.0))
-        spread_out = sum((w[c] * spread(lambda n, c=c: F.col(n(c)), named) for c in ("tag_entropy", "idf_score", "semantic_depth")), F.lit(0.0))
+        plain = _folded([w[c] * F.col(named(c)) for c in ("richness_score", "category_coverage", "spatial_coverage")])
+        spread_out = _folded([w[c] * spread(lambda n, c=c: F.col(n(c)), named) for c in ("tag_entropy", "idf_score", "semantic_depth")])
         cost = w["size"] * spread(lambda n: F.log(n("size")), named) + w["nodes"] * spread(lambda n: F.log(F.greatest(F.col(n("total_nodes")), F.lit(1)).cast("double")), named)
         return plain + spread_out - cost - F.when((F.lit(min_nodes) > 0) & (F.col(named("total_nodes")) < min_nodes), 2.0).otherwise(0.0)
 

@@ -81,3 +81,20 @@ def test_tiles_leave_the_scan_of_what_points_are_made_of_as_it_is(spark, sf_dir)
 
     plan = location_counts(view(spark, sf_dir, "feat"), view(spark, sf_dir, "loc"), 1000.0)._jdf.queryExecution().executedPlan().toString()
     assert "isnotnull(l_orderkey" not in plan  # else the shuffle of features isn't the one that counts of tags read
+
+
+def test_the_jvm_compiles_every_method_of_a_choice_among_levels(spark, monkeypatch):
+    sizes = (20_000.0, 60_000.0, 100_000.0)
+    wide = "array(" + ", ".join(["cast(id AS double)"] * len(sizes) * len(richness._MEASURED)) + ")"
+    monkeypatch.setattr(richness, "_measured", lambda *_: spark.range(9).selectExpr("id AS loc_id", "0.0D AS lat", "0.0D AS lon", f"{wide} AS m"))
+    feat, loc = spark.range(0), spark.createDataFrame([(1, 0.0, 0.0)], "loc_id long, lat double, lon double")
+    freq = spark.createDataFrame([(t, i + 1.0) for i, t in enumerate(TAGS)], "k string, freq double")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for labels, choice in ((False, richness.selected_level), (True, lambda m: richness.first_rich(m, keep=("richness_score",)))):
+            df = choice(richness.level_metrics(feat, loc, freq, sizes, labels=labels, wide=True))
+            stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+            assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000  # bytes, HotSpot's limit
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
