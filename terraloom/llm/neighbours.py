@@ -2,15 +2,17 @@
 
 Equal vectors are one row with their least ids (more than a result can name), so a vector that fills a third of
 the table is one entry. Coarse centroids and residual codebooks are fitted on a bounded sample; every vector is
-assigned and coded. How many lists a query probes is measured: held-out vectors of the sample search it exactly,
-and as many of the nearest lists are probed as hold TARGET of their true neighbours. Vectors with clear clusters
-need few lists; such without any (the synthetic table is mostly so) need a large share.
+assigned and coded. No neighbour is missed, whatever the rows: lists and codes are left out only by bounds. A vector at
+distance a of its centroid c and e of its code lies no nearer to q than ||q - c| - a| and than the code's distance less e,
+and the k-th distance to some vectors, first those of the sample, is no less than that to all. A query probes every list
+that may hold a vector so near. Vectors with clear clusters need few lists; such without any (the synthetic table is
+mostly so) need nearly all.
 
 Lists are dealt to groups of like size, and a query goes once to each group that holds lists it probes. Large groups,
-and groups with many queries, are dealt to blocks. A block scans codes with one table of products for each query: the
-distance of query q to the code r of list c is |q - c|^2 + (|r|^2 + 2cr) - 2qr, whose middle part is stored beside the
-code. Each block keeps a short list of the least approximate distances, in proportion to its share of what the query
-probes, and measures it exactly on the original vectors.
+and groups with many queries, are dealt to blocks. A block scans the codes of a list with all its queries in one product
+of matrices: the distance of query q to the code r of list c is |q - c|^2 + (|r|^2 + 2cr) - 2qr, whose middle part is
+stored beside the code; all are less the sample's mean. Each block measures a short list of the least approximate distances exactly on the
+original vectors, and then all whose bound is no more than the k-th of those.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 Rows without an id take none either; rows that repeat an id are candidates with that id. An empty table gives no rows.
@@ -32,9 +34,9 @@ SAMPLE = 20_000  # vectors that are learnt from, at least; 32 for each list beyo
 LISTS = 4096  # at most
 PARTS = 16
 CODES = 256
-TARGET = 0.95  # share of the true neighbours in the probed lists, by which their number is chosen
-HELD = 200  # vectors of the sample that measure it
-SHORT = 400  # measured exactly, of a query, about
+NEAR = 8192  # vectors of the sample at most whose distances bound a query's
+SHORT = 64  # of a query in a block, measured exactly before bounds are known
+SLACK = 1e-12  # for rounding: bounds give way by this share of the terms they come from
 BLOCK = 50_000  # vectors of a group in one task
 QUERIES = 20_000  # queries in one task
 GROUPS = 16  # at least, where there are as many lists
@@ -73,82 +75,91 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Quantiser:
     """Coarse centroids, and codebooks for equal parts of the residuals."""
 
-    def __init__(self, x: np.ndarray, lists: int, k: int = 10, target: float = TARGET) -> None:
-        held = min(HELD, len(x) // 5)
-        own = x[held:]
-        self.coarse = kmeans(own, lists)
-        rest = own - self.coarse[nearest(own, self.coarse)]
+    def __init__(self, x: np.ndarray, lists: int) -> None:
+        self.mean = x.mean(0)
+        self.some = x[: min(NEAR, max(256, (1 << 19) // x.shape[1]))].copy()
+        x = x - self.mean
+        self.coarse = kmeans(x, lists)
+        rest = x - self.coarse[nearest(x, self.coarse)]
         self.bounds = np.array_split(np.arange(x.shape[1]), min(PARTS, x.shape[1]))
         self.books = [kmeans(rest[:, b], CODES, 8) for b in self.bounds]
-        self.n_probes = self._measured(x[:held], own, k, target) if held * 5 >= HELD else len(self.coarse)
-
-    def _measured(self, asked: np.ndarray, own: np.ndarray, k: int, target: float) -> int:
-        """The number of nearest lists that hold `target` of the k nearest of own to each vector asked."""
-        at = nearest(own, self.coarse)
-        d = (own**2).sum(1) - 2 * asked @ own.T
-        near = np.argpartition(d, min(k, len(own) - 1), axis=1)[:, :k]
-        order = self.probes(asked, len(self.coarse))
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(asked), 0), 1)
-        ranks = np.sort(np.take_along_axis(place, at[near], 1).ravel())
-        return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1
-
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, and |r|^2 + 2cr of each vector's coded residual r and centroid c."""
+
+    def limits(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A distance within which each query has k vectors: that of the k-th of some of the sample."""
+        if len(self.some) < k:
+            return np.full(len(q), np.inf)
+        own = self.some - self.mean
+        near = np.argpartition((own**2).sum(1) - 2 * (q - self.mean) @ own.T, k - 1, axis=1)[:, :k]
+        return np.array([np.sqrt(((self.some[at] - one) ** 2).sum(1)).max() for at, one in zip(near, q, strict=True)])
+
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, |r|^2 + 2cr of each vector's coded residual r and centroid c, and the distances to c and to c + r."""
+        x = x - self.mean
         at = nearest(x, self.coarse)
         c = self.coarse[at]
         codes = np.stack([nearest((x - c)[:, b], book) for b, book in zip(self.bounds, self.books, strict=True)], 1).astype(np.uint8)
-        r = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
-        return at, codes, (r * (r + 2 * c)).sum(1)
-
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        d = (self.coarse**2).sum(1) - 2 * q @ self.coarse.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
-
-    def products(self, q: np.ndarray) -> np.ndarray:
-        """Tables of each query's products with each code: queries, parts, codes."""
-        out = np.zeros((len(q), len(self.books), CODES))
-        for j, (b, book) in enumerate(zip(self.bounds, self.books, strict=True)):
-            out[:, j, : len(book)] = q[:, b] @ book.T
+        r = self.decoded(codes)
+        return at, codes, (r * (r + 2 * c)).sum(1), np.sqrt(((x - c) ** 2).sum(1)), np.sqrt(((x - c - r) ** 2).sum(1))
+
+    def probes(self, q: np.ndarray, limits: np.ndarray, radii: np.ndarray, most: int | None = None) -> list[np.ndarray]:
+        """Lists that may hold a vector within each query's limit, the nearest first; radii: of lists, negative where one is empty."""
+        out = []
+        for one, limit in zip(q - self.mean, limits, strict=True):
+            d = np.sqrt(((self.coarse - one) ** 2).sum(1))
+            away = d - radii - SLACK * (d + radii) > limit
+            at = np.argsort(d, kind="stable")
+            out.append(at[(radii[at] >= 0) & ~away[at]][:most])
         return out
 
-    def distances(self, q: np.ndarray, tables: np.ndarray, at: int, codes: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        """Squared, approximate: of each query to each code of list `at`."""
-        out = ((q - self.coarse[at]) ** 2).sum(1)[:, None] + inner[None]
-        for j in range(codes.shape[1]):
-            out -= 2 * tables[:, j][:, codes[:, j]]
-        return out
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+
+    def distances(self, q: np.ndarray, at: int, codes: np.ndarray, inner: np.ndarray, away: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query (less the mean) to each code of list `at`: the squared distance, and what its vector's is no less than."""
+        c = ((q - self.coarse[at]) ** 2).sum(1)[:, None]
+        out = q @ (-2 * self.decoded(codes)).T
+        out += inner
+        out += c
+        terms = (q**2).sum(1)[:, None] + (self.coarse[at] ** 2).sum() + 2 * (away**2 + error**2)
+        c = np.sqrt(c)
+        least = np.maximum(np.sqrt(np.maximum(out - SLACK * terms, 0)) - error, np.abs(c - away))
+        return out, least - SLACK * (c + away + error)
 
 
-def searched(quantiser: Quantiser, lists: np.ndarray, codes: np.ndarray, inner: np.ndarray, v: np.ndarray, reps: np.ndarray, q: np.ndarray, probed: list[np.ndarray], total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, rep, distance) of the k nearest in one block: vectors in order of lists, queries with the lists they probe here."""
+def searched(quantiser: Quantiser, lists: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], v: np.ndarray, reps: np.ndarray, q: np.ndarray, probed: list[np.ndarray], limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, rep, distance) of the k nearest within the limit in one block: vectors in order of lists, queries with the lists they probe here."""
     first = np.searchsorted(lists, np.arange(len(quantiser.coarse) + 1))
     asks = np.zeros((len(q), len(quantiser.coarse)), bool)
     for i, own in enumerate(probed):
         asks[i, own] = True
-    near: list[list[np.ndarray]] = [[] for _ in q]
-    rows: list[list[np.ndarray]] = [[] for _ in q]
-    tables = quantiser.products(q)
-    held = asks @ np.diff(first)
-    keep = np.maximum(16, np.ceil(2 * SHORT * held / np.maximum(total, 1)).astype(np.int64))
+    near: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in q]
+    centred = q - quantiser.mean
     for at in np.flatnonzero((np.diff(first) > 0) & asks.any(0)).tolist():
         a, b = int(first[at]), int(first[at + 1])
         some = np.flatnonzero(asks[:, at])
-        d = quantiser.distances(q[some], tables[some], at, codes[a:b], inner[a:b])
-        for i, own in zip(some.tolist(), d, strict=True):
-            n = int(keep[i])
-            best = np.argpartition(own, n - 1)[:n] if len(own) > n else np.arange(len(own))
-            near[i].append(own[best])
-            rows[i].append(best + a)
+        d, least = quantiser.distances(centred[some], at, *(x[a:b] for x in coded))
+        within = ~(least > limits[some, None])
+        for i, own, low, fine in zip(some.tolist(), d, least, within, strict=True):
+            found = np.flatnonzero(fine)
+            if len(found):
+                near[i].append((own[found], low[found], found + a))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, (found, own) in enumerate(zip(near, rows, strict=True)):
-        if found:
-            d, own = np.concatenate(found), np.concatenate(own)
-            n = int(keep[i])
-            own = own[np.argpartition(d, n - 1)[:n]] if len(d) > n else own
-            exact = np.sqrt(((v[own] - q[i]) ** 2).sum(1))
-            best = np.lexsort((reps[own], exact))[:k]
-            out.append((np.full(len(best), i), reps[own][best], exact[best]))
+    exact = lambda i, rows: np.sqrt(((v[rows] - q[i]) ** 2).sum(1))
+    for i, found in enumerate(near):
+        if not found:
+            continue
+        d, low, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = np.argpartition(d, max(SHORT, k) - 1)[: max(SHORT, k)] if len(d) > max(SHORT, k) else np.arange(len(d))
+        own = exact(i, rows[best])
+        if len(d) > len(best):
+            rest = ~(low > np.partition(own, k - 1)[k - 1])
+            rest[best] = False
+            rest = np.flatnonzero(rest)
+            own = np.concatenate([own, *(exact(i, rows[rest[x : x + 4096]]) for x in range(0, len(rest), 4096))])
+            best = np.concatenate([best, rest])
+        rows = rows[best]
+        best = np.lexsort((reps[rows], own))[:k]
+        out.append((np.full(len(best), i), reps[rows][best], own[best]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -172,9 +183,9 @@ def _groups(sizes: dict[int, int], n: int) -> dict[int, int]:
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: int | None = None, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query_id of queries (an id of vectors) its k nearest found, itself left out.
+    """(query_id, rank, vec_id, score): for each query_id of queries (an id of vectors) its k nearest, itself left out.
 
-    probed: lists that a query probes, if not as many as are measured to be needed; lists: how many there are.
+    probed: lists at most that a query probes, the nearest, if not all that may hold a neighbour; lists: how many there are.
     """
     spark = vectors.sparkSession
     fine = usable(vectors)
@@ -190,20 +201,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: i
     some = distinct if share == 1.0 else distinct.where(F.xxhash64("v") < min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
     drawn = some.select("v", F.xxhash64("v", F.lit(7)).alias("h")).orderBy("h").toArrow()  # about the sample's size, in an order that is the same every time
     x = _matrix(drawn.column("v").combine_chunks())
-    model = Quantiser(x, min(lists, len(x)), k)
+    model = Quantiser(x, min(lists, len(x)))
     lists = len(model.coarse)
-    n_probes = min(lists, probed or max(8, model.n_probes))
-    quantiser = spark.sparkContext.broadcast(model)  # at most LISTS centroids and CODES codes a part
+    quantiser = spark.sparkContext.broadcast(model)  # at most LISTS centroids, CODES codes a part and NEAR vectors
     kind = distinct.schema["v"].dataType.simpleString()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at, codes, inner = quantiser.value.code(_matrix(b.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(inner), b.column(0), b.column(1)], ["list", "code", "inner", "v", "rep"])
+                at, codes, *more = quantiser.value.code(_matrix(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, more), b.column(0), b.column(1)], ["list", "code", "inner", "away", "error", "v", "rep"])
 
-    index = staged(distinct.select("v", "rep").mapInArrow(tidied(coded), f"list int, code binary, inner double, v {kind}, rep long"))
-    sizes = {r.list: r["count"] for r in index.groupBy("list").count().collect()}  # LISTS rows at most
+    index = staged(distinct.select("v", "rep").mapInArrow(tidied(coded), f"list int, code binary, inner double, away double, error double, v {kind}, rep long"))
+    found = index.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # LISTS rows at most
+    sizes = {r.list: r.n for r in found}
+    radius = {r.list: r.radius for r in found}
     group = _groups(sizes, n)
     wanted = fine.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     named = spread_join(wanted, distinct.select("v", F.col("rep").alias("q")), ["v"], wanted.groupBy("v").agg(F.count("*").alias("n")))
@@ -211,23 +223,23 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: i
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group_of = np.array([group.get(i, -1) for i in range(lists)])
-        size_of = np.array([sizes.get(i, 0) for i in range(lists)])
+        radii = np.array([radius.get(i, -1.0) for i in range(lists)])
         for b in batches:
             if not b.num_rows:
                 continue
-            rows, groups, own, totals = [], [], [], []
-            for i, at in enumerate(quantiser.value.probes(_matrix(b.column(1)), n_probes)):
-                at = at[group_of[at] >= 0]
-                total = int(size_of[at].sum())
+            rows, groups, own, limit = [], [], [], []
+            q = _matrix(b.column(1))
+            limits = quantiser.value.limits(q, k + 1)
+            for i, at in enumerate(quantiser.value.probes(q, limits, radii, probed)):
                 for g in np.unique(group_of[at]).tolist():
                     rows.append(i)
                     groups.append(g)
                     own.append(at[group_of[at] == g])
-                    totals.append(total)
+                    limit.append(limits[i])
             part = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(groups, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(totals, pa.int64())], ["q", "qv", "g", "probed", "total"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(groups, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(limit, pa.float64())], ["q", "qv", "g", "probed", "within"])
 
-    ask = staged(asked.groupBy("q").agg(F.first("v").alias("v")).mapInArrow(tidied(asking), f"q long, qv {kind}, g int, probed array<int>, total long"))
+    ask = staged(asked.groupBy("q").agg(F.first("v").alias("v")).mapInArrow(tidied(asking), f"q long, qv {kind}, g int, probed array<int>, within double"))
     asks = {r.g: r["count"] for r in ask.groupBy("g").count().collect()}  # one row for each group of lists
     load: dict[int, int] = {}
     for at, g in group.items():
@@ -235,19 +247,20 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, *, probed: i
     blocks = spark.createDataFrame([(at, g, -(-load[g] // BLOCK), -(-asks.get(g, 0) // QUERIES)) for at, g in group.items()], "list int, g int, n_i int, n_q int")
     per_group = blocks.select("g", "n_i", "n_q").distinct()
     left = index.join(F.broadcast(blocks), "list").where("n_q > 0")
-    left = left.select("g", F.pmod(F.xxhash64("rep"), "n_i").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "list", "code", "inner", "v", "rep")
-    right = ask.join(F.broadcast(per_group), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod(F.xxhash64("q"), "n_q").cast("int").alias("j"), "q", "qv", "probed", "total")
+    left = left.select("g", F.pmod(F.xxhash64("rep"), "n_i").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("j"), "list", "code", "inner", "away", "error", "v", "rep")
+    right = ask.join(F.broadcast(per_group), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("i"), F.pmod(F.xxhash64("q"), "n_q").cast("int").alias("j"), "q", "qv", "probed", "within")
 
     def meet(key, rows: pd.DataFrame, ask_: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(rows) and len(ask_):
             rows = rows.sort_values(["list", "rep"])
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+            coded_ = (codes, *(rows[c].to_numpy() for c in ("inner", "away", "error")))
             v, reps = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["rep"].to_numpy()
             for at in range(0, len(ask_), 64):
                 part = ask_.iloc[at : at + 64]
                 q = np.stack(part["qv"].to_numpy()).astype(np.float64)
-                who, near, d = searched(quantiser.value, rows["list"].to_numpy(), codes, rows["inner"].to_numpy(), v, reps, q, list(part["probed"]), part["total"].to_numpy(), k + 1)
+                who, near, d = searched(quantiser.value, rows["list"].to_numpy(), coded_, v, reps, q, list(part["probed"]), part["within"].to_numpy(), k + 1)
                 out.append(pd.DataFrame({"q": part["q"].to_numpy()[who], "rep": near, "d": d}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "d": []}).astype({"q": "int64", "rep": "int64", "d": "float64"})
 

@@ -441,6 +441,23 @@ def test_short_lists_of_codes_find_neighbours(spark):
     assert len(found) == 120 and hits >= 0.9 * 1200  # lists of 750 vectors, of which each block measures a few dozen
 
 
+def test_neighbours_of_vectors_unlike_most_are_all_found(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12, 32))[rng.integers(0, 12, 6_000)] + rng.normal(size=(6_000, 32)) * 0.001 + 100
+    x[::20] = rng.normal(size=(300, 32)) * 2 + 100
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = frame.where("vec_id % 40 = 0 OR vec_id % 100 = 1").selectExpr("vec_id AS query_id")
+    found: dict[int, list[tuple[int, int, float]]] = {}
+    for r in neighbours.neighbours(frame, asked, sample=2_000).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(found) == 210
+    for q, own in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.argsort(d, kind="stable")[:10].tolist()
+        assert [i for _, i, _ in sorted(own)] == want and np.allclose([s for *_, s in sorted(own)], d[want], rtol=1e-12)
+
+
 def test_numbers_are_no_secrets_and_keys_no_personal_data(spark):
     rng = np.random.default_rng(11)
     digits = lambda n: "".join(rng.choice(list("0123456789"), n))
