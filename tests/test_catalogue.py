@@ -29,7 +29,7 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert rows == sorted(repr(list(r)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bearing_sector"])
+@pytest.mark.parametrize("name", ["bearing_sector", "distance_decay"])
 def test_rows_of_pairs_need_no_broadcast_and_no_decimal_text(spark, name):
     plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "round(" not in plan.lower()
